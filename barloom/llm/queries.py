@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.llm.copies import collapse_copies, find_copies
 from barloom.llm.leakage import leaked_spans, remove_leaks
 from barloom.llm.packing import fill_report, pack_documents
+from barloom.llm.toxicity import fit_model, rates_by, score_documents
 from barloom.sources import table
 
 _COPY_RULE = {"row_id": "row_id", "ordered": ["title", "raw_hash"], "unordered": ["source"], "required": ["raw_hash"]}
@@ -56,6 +57,21 @@ def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
     return remove_leaks(documents, leaked_spans(documents, table(spark, root, "eval_items")))
 
 
+def p8_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its score, the probability of each kind of content, and whether it should be reviewed."""
+    documents = table(spark, root, "documents")
+    return score_documents(documents, fit_model(documents, table(spark, root, "doc_labels")), keep=["source"])
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_scores(spark, root).where("flagged").select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Share of documents to review per source."""
+    return rates_by(p8_scores(spark, root), "source")
+
+
 P7_FOUND = """
 WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM eval_items WHERE text IS NOT NULL),
 w AS (SELECT kind, id, regexp_extract_all(regexp_replace(lower(text), '(\\p{Han})', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+') AS words FROM t),
@@ -63,5 +79,5 @@ g AS (SELECT DISTINCT kind, id, unnest(list_transform(generate_series(1, len(wor
 SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM g a JOIN g b ON a.kind = 'd' AND b.kind = 'i' AND a.gram = b.gram
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_events, p6_containers, p6_fill, p7_found, p7_cleaned)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_events, p6_containers, p6_fill, p7_found, p7_cleaned, p8_found, p8_scores, p8_source_rates)}
 SQL = {"p4_found": P4_FOUND, "p4_events": P4_EVENTS, "p7_found": P7_FOUND}
