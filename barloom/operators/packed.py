@@ -18,6 +18,8 @@ ATOM = re.compile(r"""(?<![\w:=.+\-%])(?:"((?:[^"]|"")*+)"|'((?:[^']|'')*+)')|([
 DIGITS = re.compile(r"\d+")
 #: The model's fixed size: hashed value frequencies and hashed separator behaviour, per field.
 VALUE_SLOTS, SEPARATOR_SLOTS, LONGEST_MERGE = 1 << 15, 1 << 10, 3
+#: What a separator inside a value costs: as much as one more value of average rarity, so that values which merely occur together stay apart.
+JOIN_COST = math.log(VALUE_SLOTS)
 
 
 def atoms(text: str) -> list[tuple[str, int, int, bool]]:
@@ -49,7 +51,7 @@ def _lattice(text: str, found: list, values: np.ndarray, joins: np.ndarray) -> t
             if j > i + 1:
                 if found[i][3] or found[j - 1][3]:
                     break
-                inner += math.log(joins[gaps[j - 2]])
+                inner += math.log(joins[gaps[j - 2]]) - JOIN_COST
             slot = _slot(found[i][0] if j == i + 1 else text[found[i][1] : found[j - 1][2]], VALUE_SLOTS)
             after = math.log(1.0 - joins[gaps[j - 1]]) if j < n else 0.0
             into[j].append((i, math.log(values[slot]) + inner + after, slot))
