@@ -289,7 +289,7 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
     keep = np.ones(len(y), dtype=bool)
     blind = _held_out(spark, data, y, keep, CAUTIOUS)
     if (y == 0).any():
-        believed = (y == 1) & (blind > np.quantile(blind[y == 0], 0.99))
+        believed = (y == 1) & (blind > best_threshold(blind, y))
         if believed.sum() >= 2 * FOLDS:
             keep = believed | ((y == 0) & (blind < np.median(blind[believed])))
     checked = _held_out(spark, data, y, keep, KEEN)
