@@ -64,7 +64,9 @@ def p8_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    return p8_scores(spark, root).where("flagged").select("doc_id")
+    documents = table(spark, root, "documents")
+    model = fit_model(documents, table(spark, root, "doc_labels"), by_kind=False)
+    return score_documents(documents, model).where("flagged").select("doc_id")
 
 
 def p8_source_rates(spark: SparkSession, root: str) -> DataFrame:

@@ -210,7 +210,7 @@ def fit(feats: Sequence[np.ndarray], labels: np.ndarray, rounds: int = 3, epochs
 
 
 #: Settings of the fits that clean the labels (strong sparsity) and of the fit that is kept.
-CAUTIOUS = {"alpha": 0.15, "l1": 0.6, "l2": 0.5, "rounds": 3, "epochs": 2}
+CAUTIOUS = {"alpha": 0.2, "l1": 0.4, "l2": 0.3, "rounds": 3, "epochs": 2}
 KEEN = {"alpha": 0.3, "l1": 0.3, "l2": 0.1, "rounds": 3, "epochs": 3}
 FOLDS = 3
 
@@ -245,32 +245,34 @@ def _held_out(spark: SparkSession, data: list, y: np.ndarray, keep: np.ndarray,
     return out
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the greatest F1 on held-out scores, in the middle of the gap below the lowest score taken."""
+def best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.003) -> float:
+    """The middle of the thresholds whose F1 on held-out scores is within slack of the best."""
     order = np.argsort(-scores, kind="stable")
     s, hits = scores[order], np.cumsum(y[order])
     if not len(s) or not hits[-1]:
         return 0.0
     f1 = 2 * hits / (np.arange(1, len(s) + 1) + hits[-1])
     f1[:-1][s[:-1] == s[1:]] = -1.0
-    at = int(f1.argmax())
-    return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at]) - 1e-9
+    good = np.flatnonzero(f1 >= f1.max() - slack)
+    low = s[good[-1] + 1] if good[-1] + 1 < len(s) else s[good[-1]] - 1e-6
+    return float((s[good[0]] + low) / 2)
 
 
-def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id", text: str = "text", kinds: Sequence[str] = KINDS, most_labelled: int = MOST_LABELLED) -> Model:
+def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id", text: str = "text", kinds: Sequence[str] = KINDS, by_kind: bool = True, most_labelled: int = MOST_LABELLED) -> Model:
     """Fit on the labelled documents, at most most_labelled of them (those of the smallest hashed ids).
 
     A document read by several annotators is marked where at least half of them mark it. Annotators err, so the labels
     are first checked with models that did not see them: marked documents that score like the mass of clean ones and
     clean ones that score like marked ones are left out. The threshold comes from held-out scores of the rest. Labels
-    without a document, null texts and null labels count for nothing. Without any marked document nothing scores.
+    without a document, null texts and null labels count for nothing. Without any marked document nothing scores. With
+    by_kind there are weights per kind too, not only for any of them.
     """
     spark = documents.sparkSession
     mark = F.coalesce(F.greatest(*[F.col(k) for k in kinds]), F.lit(0))
     votes = labels.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).cast("long").alias("id")).agg(F.avg(mark).alias("any"), *[F.avg(F.coalesce(F.col(k), F.lit(0))).alias(f"v_{k}") for k in kinds])
     chosen = votes.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     texts = documents.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    sample = texts.join(chosen, "id")
+    sample = texts.join(F.broadcast(chosen), "id")  # most_labelled narrow rows at most
     names = ["any", *[f"v_{k}" for k in kinds]]
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,7 +286,7 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
     y = (rows["any"].to_numpy() >= 0.5).astype(int)
     empty = np.zeros(0)
     if not y.any():
-        every = ["any", *kinds]
+        every = ["any", *(kinds if by_kind else ())]
         return Model({k: empty.astype(np.int64) for k in every}, {k: empty for k in every}, {k: -10.0 for k in every}, 0.0)
     keep = np.ones(len(y), dtype=bool)
     blind = _held_out(spark, data, y, keep, CAUTIOUS)
@@ -294,7 +296,7 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
             keep = believed | ((y == 0) & (blind < np.median(blind[believed])))
     checked = _held_out(spark, data, y, keep, KEEN)
     threshold = best_threshold(checked[keep], y[keep])
-    targets = {"any": y, **{k: (y == 1) & (rows[f"v_{k}"].to_numpy() >= 0.5) for k in kinds}}
+    targets = {"any": y, **{k: (y == 1) & (rows[f"v_{k}"].to_numpy() >= 0.5) for k in kinds if by_kind}}
     none = np.zeros(0, dtype=np.int64)
     jobs = [{"train": np.flatnonzero(keep), "score": none, "y": np.asarray(t).astype(int), "settings": KEEN} for t in targets.values()]
     got = dict(zip(targets, _parallel(spark, data, jobs), strict=True))
@@ -326,8 +328,9 @@ def score_documents(documents: DataFrame, model: Model, *, row_id: str = "doc_id
                 {"doc_id": batch["__id"], **{c: batch[c] for c in keep}, "score": out["any"], "flagged": some & (out["any"] > m.threshold), **{k: 1.0 / (1.0 + np.exp(-out[k])) for k in kinds}}
             )
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name in keep)
-    return narrow.mapInPandas(score, f"doc_id long, {kept}score double, flagged boolean, " + ", ".join(f"`{k}` double" for k in kinds))
+    types = {f.name: f.dataType.simpleString() for f in narrow.schema}
+    schema = ["doc_id long", *(f"`{k}` {types[k]}" for k in keep), "score double", "flagged boolean", *(f"`{k}` double" for k in kinds)]
+    return narrow.mapInPandas(score, ", ".join(schema))
 
 
 def rates_by(scored: DataFrame, group: str) -> DataFrame:
