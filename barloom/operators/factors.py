@@ -46,6 +46,7 @@ def _returns() -> None:
     helper("pc", [], lambda: before("close"))
     helper("r", [], lambda: change("close", 1))
     helper("r0", ["r"], lambda: F.coalesce("r", F.lit(0.0)))
+    helper("r_prev", ["r"], lambda: before("r"))
     helper("r_abs", ["r"], lambda: F.abs("r"))
     helper("r_down", ["r"], lambda: F.when(c("r") < 0, c("r")).otherwise(0.0))
     helper("r_up", ["r"], lambda: F.when(c("r") > 0, c("r")).otherwise(0.0))
@@ -208,15 +209,12 @@ def _kurt(w: int, least: int) -> Column:
 
 
 def _autocorrelation(w: int) -> Column:
-    """Lag-1 correlation of the known returns of the frame."""
-    xs = F.collect_list("r").over(trailing(w))
-    n = F.size(xs) - 1
-    a, b = F.slice(xs, F.lit(1), n), F.slice(xs, F.lit(2), n)
-    total = lambda array: F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
-    ma, mb = total(a) / n, total(b) / n
-    cov = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    scale = F.sqrt(total(F.transform(a, lambda x: (x - ma) * (x - ma))) * total(F.transform(b, lambda y: (y - mb) * (y - mb))))
-    return F.when((F.size(xs) >= F.lit(least_observations(w))) & (F.array_max(xs) > F.array_min(xs)), ratio(cov, scale))
+    """Correlation of the frame's returns with the ones before them, both within the frame. Only a symbol's first return is null."""
+    frame = trailing(w - 1)
+    x, y = F.when(c("r_prev").isNotNull(), c("r")), F.when(c("r").isNotNull(), c("r_prev"))
+    scale = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
+    varied = (F.count("r").over(trailing(w)) >= least_observations(w)) & (F.max("r").over(trailing(w)) > F.min("r").over(trailing(w)))
+    return F.when(varied, ratio(F.covar_samp(x, y).over(frame), scale))
 
 
 def _shapes() -> None:
@@ -227,7 +225,7 @@ def _shapes() -> None:
         factor(f"limit_down_count_{w}", ["r"], lambda w=w: roll_sum(flag(c("r") <= -0.095), w, 1))
         factor(f"up_day_ratio_{w}", ["r"], lambda w=w, least=least: roll_mean(flag(c("r") > 0), w, least))
         factor(f"down_day_ratio_{w}", ["r"], lambda w=w, least=least: roll_mean(flag(c("r") < 0), w, least))
-        factor(f"return_autocorr_{w}", ["r"], lambda w=w: _autocorrelation(w))
+        factor(f"return_autocorr_{w}", ["r", "r_prev"], lambda w=w: _autocorrelation(w))
         factor(f"downside_tail_return_{w}", ["r"], lambda w=w: rolling(lambda x: F.percentile(x, 0.1), c("r"), w))
         factor(f"upside_tail_return_{w}", ["r"], lambda w=w: rolling(lambda x: F.percentile(x, 0.9), c("r"), w))
         factor(f"return_abs_mean_{w}", ["r_abs"], lambda w=w: roll_mean(c("r_abs"), w))
@@ -235,7 +233,7 @@ def _shapes() -> None:
         factor(
             f"shrinkage_breakout_{w}",
             [f"breakout_high_{w}", f"volume_cv_{w}"],
-            lambda w=w: flag(c(f"breakout_high_{w}") > -0.01) * flag(c(f"volume_cv_{w}") < rolling(lambda x: F.percentile(x, 0.5), c(f"volume_cv_{w}"), w)),
+            lambda w=w: flag(c(f"breakout_high_{w}") > -0.01) * flag(c(f"volume_cv_{w}") < rolling(lambda x: F.percentile(x, 0.5), c(f"volume_cv_{w}"), w) - 1e-12),
         )
         factor(f"stalled_up_volume_{w}", ["r", f"amount_zscore_{w}"], lambda w=w: roll_sum(flag((c("r") > 0) & (c("r") < 0.01) & (c(f"amount_zscore_{w}") > 1)), w))
         factor(f"low_volume_pullback_{w}", ["r", f"amount_zscore_{w}"], lambda w=w: roll_sum(flag((c("r") < 0) & (c(f"amount_zscore_{w}") < -0.5)), w))
@@ -258,7 +256,8 @@ def _cross_section() -> None:
     sources = {"momentum_rank_20": "momentum_20", "momentum_rank_60": "momentum_60", "momentum_rank_120": "momentum_120", "reversal_rank_5": "reversal_5", "volatility_rank_20": "volatility_20", "volatility_rank_60": "volatility_60"}
     sources |= {f"{what}_rank_{w}": f"{what}_mean_{w}" for what in ("amount", "turnover") for w in (20, 60)}
     for name, source in sources.items():
-        factor(f"cs_{name}", [source], lambda source=source: rank_share(c(source), "date"))
+        # Rounded, so that means which differ only by the order of summation tie.
+        factor(f"cs_{name}", [source], lambda source=source: rank_share(F.round(source, 5 if source.startswith("amount") else 9), "date"))
     parts = ["cs_volatility_rank_20", "cs_turnover_rank_20", "cs_amount_rank_20"]
     known = lambda p: F.when(c(p).isNotNull(), 1).otherwise(0)
     factor("cs_liquidity_risk_score", parts, lambda: ratio(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)), sum((known(p) for p in parts), F.lit(0))))
