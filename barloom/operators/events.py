@@ -1,0 +1,178 @@
+"""Events on securities: decayed factors, outcomes after an event, cohorts and what was known before."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from barloom.functions.rolling import by_symbol
+from barloom.operators.trailing import day_number
+
+
+def first_deliveries(events: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Of the rows of a key the one with the smallest order; rows with a null in the key all stay."""
+    known = F.lit(True)
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    first = events.where(known).groupBy(*key).agg(F.min(order).alias(order)).select(order)
+    return events.where(~known).unionByName(events.where(known).join(first, order, "left_semi"))
+
+
+def event_factors(events: DataFrame, *, long_days: int = 30, short_days: int = 5, decay_days: float = 7.0) -> DataFrame:
+    """Per symbol and weekday from its first to its last event with an event in the last long_days: counts, decayed means and the latest event.
+
+    events: symbol, effective_date, sentiment, impact_score, weighted_impact_score, source_reliability, confidence,
+    event_type, published_at, row_id. Events are summed per symbol and day first; the weight depends on the day alone.
+    """
+    weighted = ["impact_score", "weighted_impact_score", "source_reliability"]
+    daily = (
+        events.where("symbol IS NOT NULL AND effective_date IS NOT NULL")
+        .groupBy("symbol", "effective_date")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("positive", "negative")],
+            *[F.sum(F.coalesce(x, F.lit(0.0)).cast("decimal(24,10)")).cast("double").alias(x) for x in weighted],
+            F.sum(F.col("confidence").cast("decimal(24,10)")).cast("double").alias("confidence"),
+            F.count("confidence").alias("confidences"),
+            F.max(F.struct("published_at", "row_id", "event_type")).alias("latest"),
+        )
+    )
+    spans = daily.groupBy("symbol").agg(F.min("effective_date").alias("lo"), F.max("effective_date").alias("hi"))
+    calendar = spans.select("symbol", F.explode(F.sequence("lo", "hi")).alias("date")).where(F.weekday("date") < 5)
+    width = long_days + 1
+    calendar = calendar.withColumn("bucket", F.floor(day_number(F.col("date")) / width).cast("int"))
+    home = F.floor(day_number(F.col("effective_date")) / width).cast("int")
+    offered = daily.withColumn("bucket", F.explode(F.array(home, home + 1)))
+    near = calendar.join(offered, ["symbol", "bucket"]).where((F.col("effective_date") <= F.col("date")) & (F.col("effective_date") >= F.date_sub("date", long_days)))
+    age = F.datediff("date", "effective_date")
+    near = near.withColumn("w", F.exp(-age / decay_days)).withColumn("short", age <= short_days)
+    mass = F.sum(F.col("w") * F.col("n"))
+    return (
+        near.groupBy("symbol", "bucket", "date")
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("short"), F.col("n"))), F.lit(0)).alias("event_count_3d"),
+            F.sum("n").alias("event_count_20d"),
+            F.sum("positive").alias("positive_event_count"),
+            F.sum("negative").alias("negative_event_count"),
+            *[F.try_divide(F.sum(F.col("w") * F.col(x)), mass).alias(name) for x, name in zip(weighted, ("event_impact_score", "event_weighted_impact_score", "event_reliability_mean"))],
+            F.try_divide(F.sum("confidence"), F.sum("confidences")).alias("event_confidence_mean"),
+            F.max("latest")["event_type"].alias("latest_event_type"),
+        )
+        .drop("bucket")
+    )
+
+
+def next_trading_day(days: DataFrame, bars: DataFrame) -> DataFrame:
+    """(symbol, day, trade_date): the first bar on or after each of the distinct (symbol, day)."""
+    asked = days.select("symbol", "day").distinct()
+    both = asked.select("symbol", "day", F.lit(None).cast("date").alias("bar"), F.lit(True).alias("asked")).unionByName(bars.select("symbol", F.col("date").alias("day"), F.col("date").alias("bar"), F.lit(False).alias("asked")))
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("day"), "asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("trade_date", F.last("bar", ignorenulls=True).over(ahead))
+    return found.where("asked").select("symbol", "day", "trade_date")
+
+
+def event_returns(events: DataFrame, bars: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Each event and horizon with the return from its first trading day on, its excess over the day's mean, and when it was known; null where there is none."""
+    ahead = lambda x, h: F.lead(x, h).over(by_symbol())
+    outcomes = F.array(*[F.struct(F.lit(h).alias("horizon_days"), (F.try_divide(ahead("close", h), F.col("close")) - 1).alias("forward_return"), ahead("date", h).alias("known_at")) for h in horizons])
+    labels = bars.select("symbol", "date", outcomes.alias("o")).select("symbol", F.col("date").alias("trade_date"), F.explode("o").alias("o")).select("symbol", "trade_date", "o.*")
+    labels = labels.withColumn("excess_return", F.col("forward_return") - F.avg("forward_return").over(Window.partitionBy("trade_date", "horizon_days")))
+    dated = events.withColumn("day", F.col("effective_date"))
+    placed = dated.join(next_trading_day(dated, bars), ["symbol", "day"], "left").drop("day")
+    wanted = placed.withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    return wanted.join(labels, ["symbol", "trade_date", "horizon_days"], "left")
+
+
+def event_cohorts(returns: DataFrame, levels: Sequence[Sequence[str]]) -> DataFrame:
+    """(cohort_level, cohort_key, horizon_days, sample statistics) for several groupings in one pass over the rows."""
+    known = returns.where("forward_return IS NOT NULL")
+    names = sorted({c for level in levels for c in level})
+    cohort = F.explode(F.array(*[F.struct(F.lit("_".join(level)).alias("level"), F.concat_ws("|", *level).alias("key")) for level in levels])).alias("c")
+    rows = known.select("horizon_days", "forward_return", "excess_return", *names, cohort)
+    n, mean, std = F.count(F.lit(1)), F.avg("forward_return"), F.coalesce(F.stddev_samp("forward_return"), F.lit(0.0))
+    return rows.groupBy(F.col("c.level").alias("cohort_level"), F.col("c.key").alias("cohort_key"), "horizon_days").agg(
+        n.alias("sample_count"),
+        mean.alias("mean_return"),
+        F.percentile("forward_return", 0.5).alias("median_return"),
+        F.avg((F.col("forward_return") > 0).cast("double")).alias("positive_rate"),
+        F.avg("excess_return").alias("mean_excess_return"),
+        std.alias("return_std"),
+        F.when((n > 1) & (std > 0), mean / (std / F.sqrt(n.cast("double")))).otherwise(0.0).alias("t_stat"),
+    )
+
+
+def prior_outcomes(returns: DataFrame, cohort: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Each row with count, mean return and positive rate of its cohort's outcomes known strictly before its effective_date.
+
+    Outcomes are summed per cohort and day of becoming known; only these daily rows are accumulated.
+    """
+    key = [*cohort, "horizon_days"]
+    known = returns.where("forward_return IS NOT NULL AND known_at IS NOT NULL").groupBy(*key, F.col("known_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("forward_return").alias("s"), F.count_if(F.col("forward_return") > 0).alias("p")
+    )
+    asked = returns.select(*key, F.col("effective_date").alias("day")).distinct().withColumn("asked", F.lit(True))
+    before = Window.partitionBy(*key).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    days = known.unionByName(asked, allowMissingColumns=True).withColumn("day_", day_number(F.col("day")))
+    before = Window.partitionBy(*key).orderBy("day_").rangeBetween(Window.unboundedPreceding, -1)
+    total = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    priors = days.select(*key, "day", "asked", total("n").alias("prior_count"), total("s").alias("s"), total("p").alias("p")).where("asked")
+    both = returns.select(*keep, *key, F.col("effective_date").alias("day")).join(priors, [*key, "day"])
+    return both.select(*keep, *key, "prior_count", F.coalesce(F.try_divide("s", "prior_count"), F.lit(0.0)).alias("prior_mean_return"), F.coalesce(F.try_divide("p", "prior_count"), F.lit(0.0)).alias("prior_positive_rate"))
+
+
+def coverage_by_symbol(events: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Per requested symbol: events, first and last day, distinct types in order, sentiments; zero rows where there is none."""
+    per = events.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.min("effective_date").alias("first_day"), F.max("effective_date").alias("last_day"), F.array_join(F.array_sort(F.collect_set("event_type")), ";").alias("types"), F.count_if(F.col("sentiment") == "negative").alias("neg"), F.avg(F.col("source_reliability").cast("decimal(20,10)")).cast("double").alias("mean_reliability")
+    )
+    return symbols.select("symbol").distinct().join(per, "symbol", "left").select(
+        "symbol", F.coalesce("n", F.lit(0)).alias("event_count"), "first_day", "last_day", F.coalesce("types", F.lit("")).alias("event_types"), F.coalesce("neg", F.lit(0)).alias("negative_count"), "mean_reliability"
+    )
+
+
+def latest_within(asked: DataFrame, rows: DataFrame, max_age: int, attributes: Sequence[str]) -> DataFrame:
+    """Each (symbol, date) of asked with the attributes of the newest row of its symbol at most max_age days old; null where there is none.
+
+    rows: one per symbol and date. Two coarse buckets of dates bound the candidates.
+    """
+    width = max_age + 1
+    left = asked.withColumn("bucket", F.floor(day_number(F.col("date")) / width).cast("int"))
+    home = F.floor(day_number(F.col("date")) / width).cast("int")
+    right = rows.withColumn("bucket", F.explode(F.array(home, home + 1))).select("symbol", "bucket", F.col("date").alias("row_date"), *attributes)
+    near = (F.col("l.symbol") == F.col("r.symbol")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("r.row_date") <= F.col("l.date")) & (F.col("r.row_date") >= F.date_sub("l.date", max_age))
+    best = F.max_by(F.struct("r.row_date", *[F.col(f"r.{a}").alias(a) for a in attributes]), "r.row_date")
+    return left.alias("l").join(right.alias("r"), near, "left").groupBy("l.symbol", "l.bucket", "l.date").agg(best.alias("b")).select("symbol", "date", F.col("b.row_date").alias("event_date"), *[F.col(f"b.{a}").alias(a) for a in attributes])
+
+
+def exposure(holdings: DataFrame, factors: DataFrame) -> DataFrame:
+    """Per date: weight held, weight with events, and weighted event scores of the holdings."""
+    joined = holdings.join(factors, ["date", "symbol"], "left")
+    exposed = F.coalesce("event_count_20d", F.lit(0)) > 0
+    return joined.groupBy("date").agg(
+        F.sum("weight").alias("total_weight"),
+        F.coalesce(F.sum(F.when(exposed, F.col("weight"))), F.lit(0.0)).alias("exposed_weight"),
+        F.count_if(exposed).alias("exposed_symbols"),
+        F.sum(F.col("weight") * F.coalesce("event_impact_score", F.lit(0.0))).alias("weighted_impact"),
+    )
+
+
+def price_shocks(series: DataFrame, one_row: float, five_rows_factor: float = 1.8, cap: float = 0.85) -> DataFrame:
+    """Rows of (symbol, date, close) whose change over one row, or over five, is large; impact is the larger one scaled and capped."""
+    r = lambda n: F.try_divide(F.col("close"), F.lag("close", n).over(by_symbol())) - 1
+    moved = series.select("symbol", "date", r(1).alias("r1"), r(5).alias("r5"))
+    hit = (F.abs("r1") >= one_row) | (F.abs("r5") >= one_row * five_rows_factor)
+    dominant = F.when(F.abs("r1") >= F.coalesce(F.abs("r5"), F.lit(0.0)), F.col("r1")).otherwise(F.col("r5"))
+    return moved.where(hit).select("symbol", "date", "r1", "r5", F.greatest(F.lit(-cap), F.least(F.lit(cap), 8 * dominant)).alias("impact"))
+
+
+def ngrams(text: Column, n: int) -> Column:
+    """Distinct character n-grams of lower-case text without white space; a shorter text is its own only one."""
+    t = F.lower(F.regexp_replace(text, r"\s+", ""))
+    many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.substring(t, i, F.lit(n)))
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
