@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from barloom.session import cut_lineage
 
 
-def pooled_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
+def pooled_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str, ties: str | None = None) -> DataFrame:
     """df with out: the average rank of value within its group, however large the group; null for a null value.
 
-    Equal values are counted first, with map-side combining, then range-partitioned; each partition ranks its own stretch
-    and adds the totals of the stretches before it. No task sees more than a stretch of distinct values.
+    With ties, also how many rows share the value. Equal values are counted first, with map-side combining, then
+    range-partitioned; each partition ranks its own stretch and adds the totals of the stretches before it. No task sees
+    more than a stretch of distinct values.
     """
     groups = list(groups)
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_"))
@@ -23,5 +24,6 @@ def pooled_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str) ->
     earlier = Window.partitionBy(*groups).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stretch.select(*groups, "part_", F.coalesce(F.sum("held_").over(earlier), F.lit(0)).alias("offset_"))
     below = F.coalesce(F.sum("n_").over(Window.partitionBy(*groups, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranged.join(offsets, [*groups, "part_"]).select(*groups, value, (F.col("offset_") + below + (F.col("n_") + 1) / 2.0).alias(out))
+    rank = (F.col("offset_") + below + (F.col("n_") + 1) / 2.0).alias(out)
+    ranked = ranged.join(offsets, [*groups, "part_"]).select(*groups, value, rank, *([F.col("n_").alias(ties)] if ties else []))
     return df.join(ranked, [*groups, value], "left")
