@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import by_symbol, pearson, rank_average, rank_share
 from barloom.operators.ranking import pooled_ranks
+from barloom.session import cut_lineage
 
 
 def future(horizon: int) -> Column:
@@ -108,13 +109,14 @@ def market_regimes(panel: DataFrame) -> DataFrame:
     """(date, regime) by terciles of the daily market return. One row per date."""
     daily = panel.groupBy("date").agg(F.avg("market_mean_return").alias("m"))
     cuts = daily.agg(F.percentile("m", 0.33).alias("lo"), F.percentile("m", 0.67).alias("hi"))
-    regime = F.when(F.col("m") <= F.col("lo"), "bearish").when(F.col("m") >= F.col("hi"), "bullish").otherwise("sideways")
-    return daily.where("m IS NOT NULL").join(F.broadcast(cuts)).select("date", regime.alias("regime"))
+    lo, hi = cuts.select("lo").scalar(), cuts.select("hi").scalar()
+    regime = F.when(F.col("m") <= lo, "bearish").when(F.col("m") >= hi, "bullish").otherwise("sideways")
+    return daily.where("m IS NOT NULL").select("date", regime.alias("regime"))
 
 
 def regime_rank_ic(long: DataFrame, regimes: DataFrame, least: int = 10) -> DataFrame:
     """(factor, regime, rows, rank_ic): rank correlation over all rows of a regime, ranks pooled over its dates."""
-    pooled = long.where("value IS NOT NULL AND label IS NOT NULL").join(regimes, "date")
+    pooled = cut_lineage(long.where("value IS NOT NULL AND label IS NOT NULL").join(regimes, "date").select("factor", "regime", "value", "label"))
     groups = ["factor", "regime"]
     ranked = pooled_ranks(pooled_ranks(pooled, groups, "value", "value_rank"), groups, "label", "label_rank")
     return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), pearson("value_rank", "label_rank").alias("rank_ic")).where(F.col("rows") >= least)

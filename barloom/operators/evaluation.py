@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import pearson, rank_share
 from barloom.operators.ranking import pooled_ranks
+from barloom.session import cut_lineage
 
 
 def numbered_dates(dates: DataFrame) -> DataFrame:
@@ -50,6 +51,7 @@ def prediction_metrics(predictions: DataFrame, groups: Sequence[str], bins: int
     predictions: groups, prob_up, direction (0 or 1), label. Ranks are pooled over a group without gathering it.
     """
     groups = list(groups)
+    predictions = cut_lineage(predictions.select(*groups, "prob_up", "direction", "label"))
     ranked = pooled_ranks(pooled_ranks(predictions, groups, "prob_up", "pr", "pt"), groups, "label", "lr")
     sizes = predictions.groupBy(*groups).agg(F.count(F.lit(1)).alias("size"))
     ranked = ranked.join(sizes, groups)
@@ -88,8 +90,9 @@ def calibrated(predictions: DataFrame, split: float = 0.7) -> DataFrame:
     from pyspark.ml.regression import IsotonicRegression
 
     numbered = numbered_dates(predictions)
-    last = numbered.agg(F.max("i").alias("last"))
-    rows = predictions.join(F.broadcast(numbered.join(F.broadcast(last)).select("date", (F.col("i") < split * F.col("last")).alias("early"))), "date")
+    last = numbered.agg(F.max("i")).scalar()
+    rows = predictions.join(F.broadcast(numbered.select("date", (F.col("i") < split * last).alias("early"))), "date")
+    rows = cut_lineage(rows.select("early", "prob_up", "direction"))
     rows = VectorAssembler(inputCols=["prob_up"], outputCol="x").transform(rows.withColumn("direction", F.col("direction").cast("double")))
     early, late = rows.where("early"), rows.where("NOT early")
     platt = LogisticRegression(featuresCol="x", labelCol="direction", probabilityCol="p", predictionCol="c", rawPredictionCol="z").fit(early)

@@ -51,11 +51,11 @@ def simulate(targets: DataFrame, bars: DataFrame, costs: Costs) -> DataFrame:
     sales before purchases; shares bought on a day are not sold on it; purchases stop at the cash left. Days are marked
     at the last known close. Only bars of symbols ever held reach a scenario's task.
     """
-    days = bars.select("date").distinct()
-    calendar = days.select("date", F.lead("date").over(Window.orderBy("date")).alias("following"))
-    asked = targets.select("date").distinct()
-    steps = asked.withColumnRenamed("date", "signal").join(F.broadcast(calendar.select(F.col("date").alias("d"))), F.col("d") > F.col("signal")).groupBy("signal").agg(F.min("d").alias("date"))
-    orders = targets.join(F.broadcast(steps), F.col("signal") == targets["date"]).select("scenario", steps["date"].alias("date"), "symbol", "weight")
+    # The first bar date after each target date: one row per date, so one task may order them.
+    days = bars.select("date", F.col("date").alias("bar")).distinct().unionByName(targets.select("date").distinct().withColumn("bar", F.lit(None).cast("date")))
+    later = Window.orderBy((-F.datediff("date", F.lit("1970-01-01").cast("date"))).alias("k")).rangeBetween(Window.unboundedPreceding, -1)
+    steps = days.withColumn("next", F.min("bar").over(later)).where("bar IS NULL AND next IS NOT NULL").select("date", "next")
+    orders = targets.join(F.broadcast(steps), "date").select("scenario", F.col("next").alias("date"), "symbol", "weight")
     held = targets.select("scenario", "symbol").distinct()
     prices = held.join(bars.select("date", "symbol", "open", "close"), "symbol")
     feed = prices.join(orders, ["scenario", "date", "symbol"], "left")

@@ -57,7 +57,7 @@ def news(spark: SparkSession, root: str) -> DataFrame:
     source = F.when(five == 0, "cninfo_disclosure").when(five == 1, "eastmoney_stock_news").when(five == 2, "cctv_macro").when(five == 3, "futures_main").otherwise("sample_news")
     return (
         table(spark, root, "events")
-        .crossJoin(F.broadcast(bounds))  # one row
+        .withColumns({"lo": bounds.select("lo").scalar(), "k": bounds.select("k").scalar()})
         .select(
             F.sha1(F.concat_ws("|", F.col("event_id").cast("string"), kind)).alias("raw_hash"),
             "event_id",
