@@ -18,7 +18,7 @@ BITS = 20
 #: Words a window holds; a document scores as its highest window.
 WINDOW, STRIDE = 20, 10
 #: At most so many labelled documents are read for fitting.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 12_000
 KINDS = ("abusive", "hateful", "sexual")
 
 _HAN = "\u3005\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -158,10 +158,11 @@ class Ftrl:
         self.bias = -self.bias_z / ((self.beta + np.sqrt(self.bias_n)) / self.alpha)
 
 
-def _window_rows(f: np.ndarray, starts: Sequence[int]) -> np.ndarray:
-    out = np.full((len(starts), 6 * WINDOW), -1, dtype=np.int32)
-    for r, s in enumerate(starts):
-        part = f[:, s : s + WINDOW].ravel()
+def _window_rows(feats: Sequence[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """Features of the windows at places (document, start)."""
+    out = np.full((len(places), 6 * WINDOW), -1, dtype=np.int32)
+    for r, (doc, s) in enumerate(places):
+        part = feats[doc][:, s : s + WINDOW].ravel()
         out[r, : len(part)] = part
     return out
 
@@ -184,8 +185,8 @@ def fit(feats: Sequence[np.ndarray], labels: np.ndarray, rounds: int = 3, epochs
     model = Ftrl(alpha, l1, l2)
     for turn in range(rounds):
         weights, bias = model.weights(), model.bias
-        rows, ys, ws = [], [], []
-        for f, y in zip(feats, labels, strict=True):
+        places, ys, ws = [], [], []
+        for doc, (f, y) in enumerate(zip(feats, labels, strict=True)):
             n = f.shape[1]
             if not n:
                 continue
@@ -194,18 +195,18 @@ def fit(feats: Sequence[np.ndarray], labels: np.ndarray, rounds: int = 3, epochs
                 grid = [top_score(f, weights, bias)[1]]
             elif turn:
                 grid = grid[int(random.integers(2)) :: 2] + [top_score(f, weights, bias)[1]]
-            rows.append(_window_rows(f, grid))
+            places += [(doc, s) for s in grid]
             ys += [float(y)] * len(grid)
             ws += [1.0 / len(grid) if y else 1.0] * len(grid)
-        if not rows:
+        if not places:
             break
-        x, target, weight = np.concatenate(rows), np.array(ys), np.array(ws)
+        at, target, weight = np.array(places), np.array(ys), np.array(ws)
         model = Ftrl(alpha, l1, l2)
         for _ in range(epochs):
-            order = random.permutation(len(x))
+            order = random.permutation(len(at))
             for a in range(0, len(order), batch):
                 pick = order[a : a + batch]
-                model.update(x[pick], target[pick], weight[pick])
+                model.update(_window_rows(feats, at[pick]), target[pick], weight[pick])
     return model
 
 
@@ -264,7 +265,7 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
     A document read by several annotators is marked where at least half of them mark it. Annotators err, so the labels
     are first checked with models that did not see them: marked documents that score like the mass of clean ones and
     clean ones that score like marked ones are left out. The threshold comes from held-out scores of the rest. Labels
-    without a document, null texts and null labels count for nothing. Without any marked document nothing scores. With
+    without a document, null texts and null labels count for nothing; of a repeated document one text is read. Without any marked document nothing scores. With
     by_kind there are weights per kind too, not only for any of them.
     """
     spark = documents.sparkSession
@@ -273,12 +274,13 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
     chosen = votes.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     texts = documents.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
     sample = texts.join(F.broadcast(chosen), "id")  # most_labelled narrow rows at most
+    sample = sample.groupBy("id").agg(F.min("text").alias("text"), *[F.first(F.col(n)).alias(n) for n in ("any", *(f"v_{k}" for k in kinds))])
     names = ["any", *[f"v_{k}" for k in kinds]]
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for batch in batches:
-            yield batch.drop(columns="text").assign(h=[hasher(t).astype(np.uint32).tobytes() for t in batch.text])
+            yield batch[["id", *names]].assign(h=[hasher(t).astype(np.uint32).tobytes() for t in batch.text])
 
     schema = "id long, " + ", ".join(f"`{n}` double" for n in names) + ", h binary"
     rows = sample.mapInPandas(hashed, schema).toPandas().sort_values("id", kind="stable").reset_index(drop=True)
