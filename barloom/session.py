@@ -34,6 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     own = os.path.join(tempfile.gettempdir(), "barloom-checkpoints")
     spark.sparkContext.setCheckpointDir(own)
     return own
