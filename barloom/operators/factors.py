@@ -153,7 +153,8 @@ def _liquidity() -> None:
         factor(f"vwap_bias_{w}", [], lambda w=w: ratio(c("close"), ratio(roll_sum(c("amount"), w), roll_sum(c("volume"), w))) - 1)
     running = lambda x: F.sum(x).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     helper("obv", ["r0"], lambda: running(F.signum("r0") * c("volume")))
-    helper("pvt", ["r0"], lambda: running(c("r0") * c("volume")))
+    # Rounded, so that a total which is zero but for the last bits is zero, not a tiny divisor.
+    helper("pvt", ["r0"], lambda: F.round(running(c("r0") * c("volume")), 6))
     helper("amount_change", [], lambda: change("amount", 1))
     for w in (20, 60):
         factor(f"obv_slope_{w}", ["obv"], lambda w=w: change("obv", w))

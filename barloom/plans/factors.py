@@ -131,7 +131,7 @@ family(
 RUN = "OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)"
 family(
     "f_vwap_obv_pvt",
-    [R, {"obv": f"sum(sign(coalesce(r, 0)) * volume) {RUN}", "pvt": f"sum(coalesce(r, 0) * volume) {RUN}"}],
+    [R, {"obv": f"sum(sign(coalesce(r, 0)) * volume) {RUN}", "pvt": f"round(sum(coalesce(r, 0) * volume) {RUN}, 6)"}],
     {
         **{f"vwap_bias_{w}": f"close / (({roll('sum', 'amount', w)}) / nullif({roll('sum', 'volume', w)}, 0)) - 1" for w in (5, 20, 60)},
         **{f"obv_slope_{w}": f"obv / nullif({lag('obv', w)}, 0) - 1" for w in (20, 60)},

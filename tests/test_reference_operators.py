@@ -186,3 +186,21 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
     assert streams.drained(streams.first_deliveries(stream, time="ts", key=["key"], late="30 days")).count() == 3
     assert streams.drained(streams.session_counts(stream, time="ts", key="key", gap="22 minutes"), "complete").where("events > 1").count() == 3
+
+
+def test_dense_panel_paths_and_mentions(spark):
+    from barloom.operators import panels
+
+    d = lambda k: dt.date(2023, 1, k)
+    df = spark.createDataFrame([("a", d(2), 1.0), ("a", d(4), 3.0), ("b", d(3), 5.0)], "symbol string, date date, close double")
+    got = sorted((r.symbol, r.date.day, r.close, r.filled) for r in panels.dense_prices(df).collect())
+    assert got == [("a", 2, 1.0, False), ("a", 3, 1.0, True), ("a", 4, 3.0, False), ("b", 3, 5.0, False)]
+    anchors = spark.createDataFrame([("a", 2, 1.0), ("a", 4, 3.0), ("a", None, 9.0), ("b", 3, None)], "k string, h int, v double")
+    path = {r.step: r.v for r in panels.interpolated(anchors, ["k"], "h", "v", 5).collect()}
+    assert path == {1: 1.0, 2: 1.0, 3: 2.0, 4: 3.0, 5: 3.0}
+    rows = spark.createDataFrame([(d(1 + k // 2), float(k), 2.0 * k + 1) for k in range(8)], "date date, x double, y double")
+    lines = {r.date.day: (r.known_rows, round(r.alpha, 9), round(r.beta, 9)) for r in panels.expanding_line(rows, 4).collect()}
+    assert lines == {3: (4, 1.0, 2.0), 4: (6, 1.0, 2.0)}
+    texts = spark.createDataFrame([(1, "on 600000,000001 600000"), (2, None), (3, "6000001")], "i int, t string")
+    known = spark.createDataFrame([("600000",), ("000002",)], "symbol string")
+    assert [tuple(r) for r in panels.mentioned_symbols(texts, "i", "t", known).collect()] == [(1, "600000")]
