@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,14 +125,46 @@ def regime_rank_ic(long: DataFrame, regimes: DataFrame, least: int = 10) -> Data
 
 
 def factor_correlations(panel: DataFrame, factors: Sequence[str]) -> DataFrame:
-    """(factor, max_abs_correlation, max_corr_factor, vif_proxy), pairwise over rows where both are known, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    row = panel.agg(*[F.abs(pearson(a, b)).alias(f"{a}|{b}") for a, b in pairs])
-    long = row.unpivot([], row.columns, "pair", "r").where("r IS NOT NULL")
-    both = long.select(F.split("pair", r"\|").alias("p"), "r").select(F.explode(F.array(F.struct(F.col("p")[0].alias("f"), F.col("p")[1].alias("o")), F.struct(F.col("p")[1].alias("f"), F.col("p")[0].alias("o")))).alias("x"), "r")
-    best = both.groupBy(F.col("x.f").alias("factor")).agg(F.max("r").alias("max_abs_correlation"), F.max_by("x.o", "r").alias("max_corr_factor"))
+    """(factor, max_abs_correlation, max_corr_factor, vif_proxy), pairwise over rows where both are known.
+
+    Values are standardised by each factor's mean and deviation; every task sums products of all pairs, so factors^2
+    numbers per task are shuffled. Correlations equal to ten digits tie, and the smaller name wins. A factor without a
+    partner that varies gives no row.
+    """
+    names = list(factors)
+    p = len(names)
+    known = [F.when(~F.isnan(f), F.col(f)).alias(f) for f in names]
+    wide = panel.select(*[F.col(f).cast("double").alias(f) for f in names]).select(*known)
+    row = wide.agg(*[F.avg(f).alias(f"m_{k}") for k, f in enumerate(names)], *[F.stddev_pop(f).alias(f"s_{k}") for k, f in enumerate(names)]).first()
+    mean = np.array([row[f"m_{k}"] or 0.0 for k in range(p)])
+    scale = np.array([row[f"s_{k}"] or 1.0 for k in range(p)])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, p, p))
+        for batch in batches:
+            x = (batch.to_numpy(dtype=np.float64, na_value=np.nan) - mean) / scale
+            k = ~np.isnan(x)
+            x, k = np.where(k, x, 0.0), k.astype(np.float64)
+            total += np.stack([k.T @ k, x.T @ k, k.T @ x, (x * x).T @ k, k.T @ (x * x), x.T @ x])
+        yield pd.DataFrame({"i": np.arange(p, dtype=np.int32), "s": [total[:, i].tobytes() for i in range(p)]})
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        i = int(group.i.iloc[0])
+        n, sx, sy, sxx, syy, sxy = np.sum([np.frombuffer(s) for s in group.s], axis=0).reshape(6, p)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            vx, vy = sxx / n - (sx / n) ** 2, syy / n - (sy / n) ** 2
+            r = np.abs(sxy / n - sx / n * (sy / n)) / np.sqrt(vx * vy)
+            varied = (n > 1) & (vx > 1e-12 * sxx / n) & (vy > 1e-12 * syy / n)
+        places = [j for j in range(p) if j != i and varied[j]]
+        if not places:
+            return pd.DataFrame(columns=["factor", "max_abs_correlation", "max_corr_factor"], dtype=object)
+        j = min(places, key=lambda j: (-round(float(r[j]), 10), names[j]))
+        return pd.DataFrame({"factor": [names[i]], "max_abs_correlation": [float(r[j])], "max_corr_factor": [names[j]]}, dtype=object)
+
+    parts = wide.mapInPandas(sums, "i int, s binary")
+    found = parts.groupBy("i").applyInPandas(best, "factor string, max_abs_correlation double, max_corr_factor string")
     capped = F.least("max_abs_correlation", F.lit(0.999))
-    return best.withColumn("vif_proxy", 1.0 / F.greatest(F.lit(0.05), 1 - capped * capped))
+    return found.withColumn("vif_proxy", 1.0 / F.greatest(F.lit(0.05), 1 - capped * capped))
 
 
 def factor_scores(panel: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -110,11 +110,17 @@ def calibrated(predictions: DataFrame, split: float = 0.7) -> DataFrame:
 
 
 def ridge_forecast(rows: DataFrame, features: Sequence[str], label: str, train: str) -> DataFrame:
-    """rows with prediction: ridge regression on standardised features, nulls as the training mean, fitted where train is true."""
+    """rows with prediction: ridge regression on standardised features, nulls as the training mean, fitted where train is true.
+
+    A feature without any known training value is left out. rows is read several times.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
+    fitted = rows.where(F.col(train) & F.col(label).isNotNull())
+    known = fitted.agg(*[F.count(f).alias(f) for f in features]).first()
+    features = [f for f in features if known[f]]
     filled = [f"{f}__filled" for f in features]
     stages = [
         Imputer(inputCols=list(features), outputCols=filled, strategy="mean"),
@@ -122,7 +128,7 @@ def ridge_forecast(rows: DataFrame, features: Sequence[str], label: str, train:
         StandardScaler(inputCol="raw__", outputCol="x__", withMean=True),
         LinearRegression(featuresCol="x__", labelCol=label, predictionCol="prediction", regParam=0.1, elasticNetParam=0.0),
     ]
-    model = Pipeline(stages=stages).fit(rows.where(F.col(train) & F.col(label).isNotNull()))
+    model = Pipeline(stages=stages).fit(fitted)
     return model.transform(rows).drop(*filled, "raw__", "x__")
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import analysis as A
 from barloom.operators import evaluation as V
 from barloom.operators import portfolio as P
+from barloom.operators.factors import FACTORS
 from barloom.plans.research import _SCORE, CHOSEN, WEIGHTS, panel, sql_corr, sql_rank, targets, tidy, with_final
+from barloom.session import cut_lineage
 from barloom.sources import table
 from barloom.sources.fixtures import BARS_SQL, bars
 
@@ -100,9 +105,9 @@ def calibration_fits(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def mllib_ridge(spark: SparkSession, root: str) -> DataFrame:
-    """Ridge forecasts of the dates after 2000-01-01 from those before."""
-    rows = panel(spark, root).withColumn("train", F.col("date") < "2000-01-01")
-    return V.ridge_forecast(rows, CHOSEN, "label", "train").where("NOT train").select("date", "symbol", "label", "prediction")
+    """Ridge forecasts, on every factor, of the dates after 2000-01-01 from those before."""
+    rows = cut_lineage(panel(spark, root, FACTORS).withColumn("train", F.col("date") < "2000-01-01"))
+    return V.ridge_forecast(rows, FACTORS, "label", "train").where("NOT train").select("date", "symbol", "label", "prediction")
 
 
 _OLS = _SCORE + """, rows0 AS (SELECT s.symbol, s.date, round(s.score, 9) AS x, p.label FROM sc s JOIN panel p ON p.date = s.date AND p.symbol = s.symbol),
@@ -126,8 +131,11 @@ _Z = " UNION ALL ".join(f"SELECT symbol, '{f}' AS factor, (arg_max_null({f}, dat
 
 
 @query(with_final(_SCORE + f", z AS ({_Z}), zp AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY round(abs(z), 9) DESC, factor) AS INTEGER) AS place FROM z WHERE z IS NOT NULL)", "SELECT * FROM zp WHERE place <= 3", "z"))
-def factor_contributors(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(V.contributors(panel(spark, root), CHOSEN, 3))
+def factor_contributors(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(V.contributors(panel(spark, root, factors), factors, 3))
+
+
+QUERIES["factor_contributors_all"] = partial(factor_contributors, factors=FACTORS)
 
 
 @query(with_final("WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS place FROM d)", "SELECT * FROM k WHERE place <= 5", "distance"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import analysis as A
 from barloom.operators import quality as Q
-from barloom.operators.factors import factor_panel
+from barloom.operators.factors import FACTORS, factor_panel
 from barloom.plans.factors import OFF_TIES, VOLS, lag, over, roll
 from barloom.sources import table
 from barloom.sources.fixtures import BARS_SQL, bars
 
+#: The factors whose results SQL states. Each query over them has a sibling NAME_all over every factor of the registry.
 CHOSEN = ["momentum_20", "reversal_5", "volatility_20", "amount_mean_20", "intraday_return"]
 WEIGHTS = {"momentum_20": 0.30, "reversal_5": 0.15, "volatility_20": -0.15, "amount_mean_20": 0.10}
 QUERIES: dict = {}
@@ -29,11 +33,13 @@ def rounded(sql: str, columns: str, digits: int = 6) -> str:
     return f"SELECT * REPLACE ({parts}) FROM ({sql})"
 
 
-def query(sql: str | None = None, dates: str = ""):
-    """Register a query; dates: the result's date columns, given as text."""
+def query(sql: str | None = None, dates: str = "", every: bool = False):
+    """Register a query; dates: the result's date columns, given as text; every: also NAME_all, over all factors."""
 
     def add(f):
         QUERIES[f.__name__] = f
+        if every:
+            QUERIES[f"{f.__name__}_all"] = partial(f, factors=FACTORS)
         if sql:
             text = ", ".join(f"strftime({d}, '%Y-%m-%d') AS {d}" for d in dates.split())
             SQL[f.__name__] = f"SELECT * REPLACE ({text}) FROM ({sql})" if dates else sql
@@ -42,13 +48,13 @@ def query(sql: str | None = None, dates: str = ""):
     return add
 
 
-def panel(spark: SparkSession, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    df = factor_panel(bars(spark, root), [*CHOSEN, *extra], ("date", "symbol", "close", "amount"))
+def panel(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    df = factor_panel(bars(spark, root), factors, ("date", "symbol", "close", "amount"))
     return df.withColumn("label", A.future(5))
 
 
-def long(spark: SparkSession, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    return A.long_form(panel(spark, root, extra), CHOSEN, "label")
+def long(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return A.long_form(panel(spark, root, factors), factors, "label")
 
 
 PANEL = f"""{BARS_SQL},
@@ -187,34 +193,34 @@ def labels_return_risk(spark: SparkSession, root: str) -> DataFrame:
     return tidy(A.return_labels(bars(spark, root), [1, 5]))
 
 
-@query(with_final(SERIES, "SELECT * FROM series", "ic rank_ic", 5), dates="date")
-def ic_series(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.ic_series(long(spark, root)), 5)
+@query(with_final(SERIES, "SELECT * FROM series", "ic rank_ic", 5), dates="date", every=True)
+def ic_series(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.ic_series(long(spark, root, factors)), 5)
 
 
-@query(with_final(SERIES, f"SELECT f.factor, coalesce(avg(ic), 0) AS ic_mean, coalesce(avg(rank_ic), 0) AS rank_ic_mean, coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0) AS ic_ir, count(ic) AS observations FROM (SELECT unnest({CHOSEN}) AS factor) f LEFT JOIN series s ON s.factor = f.factor GROUP BY 1", "ic_mean rank_ic_mean ic_ir"))
-def ic_summary(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.ic_summary(A.ic_series(long(spark, root)), CHOSEN))
+@query(with_final(SERIES, f"SELECT f.factor, coalesce(avg(ic), 0) AS ic_mean, coalesce(avg(rank_ic), 0) AS rank_ic_mean, coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0) AS ic_ir, count(ic) AS observations FROM (SELECT unnest({CHOSEN}) AS factor) f LEFT JOIN series s ON s.factor = f.factor GROUP BY 1", "ic_mean rank_ic_mean ic_ir"), every=True)
+def ic_summary(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.ic_summary(A.ic_series(long(spark, root, factors)), factors))
 
 
-@query(with_final(SERIES, "SELECT factor, CAST(year(date) AS INTEGER) AS year, avg(rank_ic) AS rank_ic_mean, avg(ic) AS ic_mean, avg(CASE WHEN rank_ic > 1e-9 THEN 1.0 ELSE 0.0 END) AS positive_rank_ic_ratio, count(*) AS observations FROM series GROUP BY 1, 2", "rank_ic_mean ic_mean positive_rank_ic_ratio", 5))
-def ic_yearly(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.ic_yearly(A.ic_series(long(spark, root))), 5)
+@query(with_final(SERIES, "SELECT factor, CAST(year(date) AS INTEGER) AS year, avg(rank_ic) AS rank_ic_mean, avg(ic) AS ic_mean, avg(CASE WHEN rank_ic > 1e-9 THEN 1.0 ELSE 0.0 END) AS positive_rank_ic_ratio, count(*) AS observations FROM series GROUP BY 1, 2", "rank_ic_mean ic_mean positive_rank_ic_ratio", 5), every=True)
+def ic_yearly(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.ic_yearly(A.ic_series(long(spark, root, factors))), 5)
 
 
-@query(with_final(BUCKETS, "SELECT * FROM buckets", "mean_forward_return"), dates="date")
-def quantile_returns(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.quantile_returns(long(spark, root)))
+@query(with_final(BUCKETS, "SELECT * FROM buckets", "mean_forward_return"), dates="date", every=True)
+def quantile_returns(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.quantile_returns(long(spark, root, factors)))
 
 
-@query(with_final(LONG, "SELECT factor, count(*) FILTER (WHERE value IS NOT NULL AND label IS NOT NULL) / count(*) AS coverage, 1 - count(*) FILTER (WHERE value IS NOT NULL AND label IS NOT NULL) / count(*) AS missing_ratio FROM long GROUP BY 1", "coverage missing_ratio"))
-def factor_coverage(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.coverage(long(spark, root)))
+@query(with_final(LONG, "SELECT factor, count(*) FILTER (WHERE value IS NOT NULL AND label IS NOT NULL) / count(*) AS coverage, 1 - count(*) FILTER (WHERE value IS NOT NULL AND label IS NOT NULL) / count(*) AS missing_ratio FROM long GROUP BY 1", "coverage missing_ratio"), every=True)
+def factor_coverage(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.coverage(long(spark, root, factors)))
 
 
-@query(with_final(BUCKETS + f", m AS (SELECT factor, quantile, avg(mean_forward_return) AS m FROM buckets GROUP BY 1, 2), mr AS (SELECT *, {sql_rank('m', 'factor')} AS k FROM m)", f"SELECT factor, CASE WHEN count(*) >= 3 THEN coalesce({sql_corr('quantile', 'k')}, 0) ELSE 0 END AS quantile_monotonicity FROM mr GROUP BY 1", "quantile_monotonicity"))
-def monotonicity(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.monotonicity(A.quantile_returns(long(spark, root))))
+@query(with_final(BUCKETS + f", m AS (SELECT factor, quantile, avg(mean_forward_return) AS m FROM buckets GROUP BY 1, 2), mr AS (SELECT *, {sql_rank('m', 'factor')} AS k FROM m)", f"SELECT factor, CASE WHEN count(*) >= 3 THEN coalesce({sql_corr('quantile', 'k')}, 0) ELSE 0 END AS quantile_monotonicity FROM mr GROUP BY 1", "quantile_monotonicity"), every=True)
+def monotonicity(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.monotonicity(A.quantile_returns(long(spark, root, factors))))
 
 
 _TURNOVER = """, sh AS (SELECT *, CASE WHEN value IS NOT NULL THEN (rank() OVER (PARTITION BY date, factor ORDER BY value NULLS LAST) + (count(*) OVER (PARTITION BY date, factor, value) - 1) / 2.0) / count(value) OVER (PARTITION BY date, factor) END AS s FROM long),
@@ -222,37 +228,37 @@ st AS (SELECT *, abs(s - lag(s) OVER (PARTITION BY factor, symbol ORDER BY date)
 turn AS (SELECT factor, coalesce(avg(step), 0) AS rank_turnover FROM (SELECT factor, date, avg(step) AS step FROM st GROUP BY 1, 2) GROUP BY 1)"""
 
 
-@query(with_final(LONG + _TURNOVER, "SELECT * FROM turn", "rank_turnover"))
-def rank_turnover(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.rank_turnover(long(spark, root)))
+@query(with_final(LONG + _TURNOVER, "SELECT * FROM turn", "rank_turnover"), every=True)
+def rank_turnover(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.rank_turnover(long(spark, root, factors)))
 
 
-@query(with_final(BUCKETS + _TURNOVER + ", m AS (SELECT factor, quantile, avg(mean_forward_return) AS m FROM buckets GROUP BY 1, 2), e AS (SELECT factor, arg_max(m, quantile) - arg_min(m, quantile) AS g FROM m GROUP BY 1)", "SELECT factor, g AS gross_top_bottom_spread, rank_turnover * 0.0016 AS estimated_cost_drag, g - rank_turnover * 0.0016 AS cost_adjusted_spread FROM e JOIN turn USING (factor)", "gross_top_bottom_spread estimated_cost_drag cost_adjusted_spread"))
-def cost_adjusted_spread(spark: SparkSession, root: str) -> DataFrame:
-    rows = long(spark, root)
+@query(with_final(BUCKETS + _TURNOVER + ", m AS (SELECT factor, quantile, avg(mean_forward_return) AS m FROM buckets GROUP BY 1, 2), e AS (SELECT factor, arg_max(m, quantile) - arg_min(m, quantile) AS g FROM m GROUP BY 1)", "SELECT factor, g AS gross_top_bottom_spread, rank_turnover * 0.0016 AS estimated_cost_drag, g - rank_turnover * 0.0016 AS cost_adjusted_spread FROM e JOIN turn USING (factor)", "gross_top_bottom_spread estimated_cost_drag cost_adjusted_spread"), every=True)
+def cost_adjusted_spread(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    rows = long(spark, root, factors)
     return tidy(A.cost_adjusted_spread(A.quantile_returns(rows), A.rank_turnover(rows)))
 
 
-@query(with_final(LONG + f", pv AS (SELECT *, lag(value) OVER (PARTITION BY factor, symbol ORDER BY date) AS prev FROM long), rh AS (SELECT factor, symbol, {sql_corr('value', 'prev')} AS rho FROM pv WHERE value IS NOT NULL AND prev IS NOT NULL GROUP BY 1, 2), mh AS (SELECT factor, avg(least(greatest(rho, 0), 0.999)) AS rho FROM rh WHERE rho IS NOT NULL GROUP BY 1)", "SELECT factor, least(252.0, greatest(0.0, CASE WHEN rho > 0 THEN ln(0.5) / ln(rho) ELSE 0 END)) AS half_life_days FROM mh", "half_life_days", 4))
-def half_life(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.half_life(long(spark, root)), 4)
+@query(with_final(LONG + f", pv AS (SELECT *, lag(value) OVER (PARTITION BY factor, symbol ORDER BY date) AS prev FROM long), rh AS (SELECT factor, symbol, {sql_corr('value', 'prev')} AS rho FROM pv WHERE value IS NOT NULL AND prev IS NOT NULL GROUP BY 1, 2), mh AS (SELECT factor, avg(least(greatest(rho, 0), 0.999)) AS rho FROM rh WHERE rho IS NOT NULL GROUP BY 1)", "SELECT factor, least(252.0, greatest(0.0, CASE WHEN rho > 0 THEN ln(0.5) / ln(rho) ELSE 0 END)) AS half_life_days FROM mh", "half_life_days", 4), every=True)
+def half_life(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.half_life(long(spark, root, factors)), 4)
 
 
 _REGIMES = ", dm AS (SELECT date, avg(r) AS m FROM panel GROUP BY 1), cut AS (SELECT quantile_cont(m, 0.33) AS lo, quantile_cont(m, 0.67) AS hi FROM dm), reg AS (SELECT date, CASE WHEN m <= lo THEN 'bearish' WHEN m >= hi THEN 'bullish' ELSE 'sideways' END AS regime FROM dm, cut WHERE m IS NOT NULL)"
 
 
-@query(with_final(PAIRS + _REGIMES + f", pr AS (SELECT p.*, regime FROM pairs p JOIN reg USING (date)), rr AS (SELECT *, {sql_rank('value', 'factor, regime')} AS vr, {sql_rank('label', 'factor, regime')} AS lr FROM pr)", f"SELECT factor, regime, count(*) AS rows, {sql_corr('vr', 'lr')} AS rank_ic FROM rr GROUP BY 1, 2 HAVING count(*) >= 10", "rank_ic"))
-def regime_rank_ic(spark: SparkSession, root: str) -> DataFrame:
-    source = panel(spark, root, ("market_mean_return",))
-    return tidy(A.regime_rank_ic(A.long_form(source, CHOSEN, "label"), A.market_regimes(source)))
+@query(with_final(PAIRS + _REGIMES + f", pr AS (SELECT p.*, regime FROM pairs p JOIN reg USING (date)), rr AS (SELECT *, {sql_rank('value', 'factor, regime')} AS vr, {sql_rank('label', 'factor, regime')} AS lr FROM pr)", f"SELECT factor, regime, count(*) AS rows, {sql_corr('vr', 'lr')} AS rank_ic FROM rr GROUP BY 1, 2 HAVING count(*) >= 10", "rank_ic"), every=True)
+def regime_rank_ic(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    source = panel(spark, root, list(dict.fromkeys([*factors, "market_mean_return"])))
+    return tidy(A.regime_rank_ic(A.long_form(source, factors, "label"), A.market_regimes(source)))
 
 
 _PAIRWISE = " UNION ALL ".join(f"SELECT '{a}' AS factor, '{b}' AS other, abs({sql_corr(a, b)}) AS r FROM panel WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a in CHOSEN for b in CHOSEN if a != b)
 
 
-@query(with_final(f"WITH {PANEL}, c AS ({_PAIRWISE}), b AS (SELECT factor, max(r) AS max_abs_correlation, arg_max(other, r) AS max_corr_factor FROM c GROUP BY 1)", "SELECT *, 1.0 / greatest(0.05, 1 - least(max_abs_correlation, 0.999) ** 2) AS vif_proxy FROM b", "max_abs_correlation vif_proxy"))
-def factor_correlations(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(A.factor_correlations(panel(spark, root), CHOSEN))
+@query(with_final(f"WITH {PANEL}, c AS ({_PAIRWISE}), b AS (SELECT factor, max(r) AS max_abs_correlation, arg_max(other, r) AS max_corr_factor FROM c GROUP BY 1)", "SELECT *, 1.0 / greatest(0.05, 1 - least(max_abs_correlation, 0.999) ** 2) AS vif_proxy FROM b", "max_abs_correlation vif_proxy"), every=True)
+def factor_correlations(spark: SparkSession, root: str, factors: Sequence[str] = CHOSEN) -> DataFrame:
+    return tidy(A.factor_correlations(panel(spark, root, factors), factors))
 
 
 _SCORE = f"WITH {PANEL}, sc AS (SELECT date, symbol, close, amount, " + " + ".join(

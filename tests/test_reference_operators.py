@@ -204,3 +204,36 @@ def test_dense_panel_paths_and_mentions(spark):
     texts = spark.createDataFrame([(1, "on 600000,000001 600000"), (2, None), (3, "6000001")], "i int, t string")
     known = spark.createDataFrame([("600000",), ("000002",)], "symbol string")
     assert [tuple(r) for r in panels.mentioned_symbols(texts, "i", "t", known).collect()] == [(1, "600000")]
+
+
+def test_every_factor_is_analysed(spark, bars):
+    """Against brute force over the whole registry: the closest partner may lie outside any shortlist."""
+    from barloom.plans import evaluation as plans_evaluation
+    from barloom.plans import research
+
+    names = "ic_series ic_summary ic_yearly quantile_returns factor_coverage monotonicity rank_turnover cost_adjusted_spread half_life regime_rank_ic factor_correlations".split()
+    whole = {**{n: research.QUERIES[f"{n}_all"] for n in names}, "factor_contributors": plans_evaluation.QUERIES["factor_contributors_all"]}
+    assert all(f.keywords["factors"] == FACTORS for f in whole.values())
+
+    panel = factor_panel(bars, FACTORS, ("date", "symbol", "close")).withColumn("label", analysis.future(5)).localCheckpoint()
+    wide = panel.toPandas()
+    values = wide[FACTORS].astype(float)
+    want = values.corr(min_periods=2).abs().to_numpy(copy=True)
+    np.fill_diagonal(want, np.nan)
+    got = analysis.factor_correlations(panel, FACTORS).toPandas().set_index("factor")
+    assert got.max_corr_factor["momentum_20"] == "reversal_20" and abs(got.max_abs_correlation["momentum_20"] - 1) < 1e-9
+    varied = [f for f in FACTORS if values[f].nunique() > 1]
+    assert set(got.index) <= set(varied) and len(got) > 200
+    for f, best in got.max_abs_correlation.items():
+        assert abs(best - np.nanmax(want[FACTORS.index(f)])) < 1e-6, f
+
+    long = analysis.long_form(panel, FACTORS, "label")
+    coverage = analysis.coverage(long).toPandas().set_index("factor").coverage
+    assert set(coverage.index) == set(FACTORS)
+    for f in FACTORS:
+        assert abs(coverage[f] - (values[f].notna() & wide.label.notna()).mean()) < 1e-12
+
+
+def test_ridge_takes_every_feature_with_known_values(spark, bars):
+    rows = factor_panel(bars, ["momentum_20", "reversal_20", "momentum_240"], ("date", "symbol", "close")).withColumn("label", analysis.future(5)).withColumn("train", F.lit(True))
+    assert evaluation.ridge_forecast(rows, ["momentum_20", "reversal_20", "momentum_240"], "label", "train").where("prediction IS NULL").count() == 0
