@@ -114,10 +114,16 @@ c AS (SELECT row_id, prev_id, lower(regexp_replace(title, '\\s+', '', 'g')) AS a
 g AS (SELECT row_id, prev_id, list_distinct(list_transform(generate_series(1, greatest(1, len(a) - 2)), lambda i: substring(a, i, 3))) AS x, list_distinct(list_transform(generate_series(1, greatest(1, len(b) - 2)), lambda i: substring(b, i, 3))) AS y FROM c)
 SELECT row_id, prev_id, coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 0) AS similarity FROM g""", "similarity"))
 def title_similarity(spark: SparkSession, root: str) -> DataFrame:
-    """Character 3-gram Jaccard similarity of each title with the one before it on the same symbol."""
+    """Character 3-gram Jaccard similarity of each title with just the one before it on the same symbol; similar_events searches all earlier events."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("symbol").orderBy("published_at", "row_id")
     known = table(spark, root, "stock_event_store").where("published_at IS NOT NULL AND title IS NOT NULL AND symbol IS NOT NULL")
     pairs = known.select("row_id", F.lag("row_id").over(order).alias("prev_id"), "title", F.lag("title").over(order).alias("prev")).where("prev_id IS NOT NULL")
     return tidy(pairs.select("row_id", "prev_id", E.jaccard(E.ngrams(F.col("title"), 3), E.ngrams(F.col("prev"), 3)).alias("similarity")))
+
+
+@query()
+def similar_events(spark: SparkSession, root: str) -> DataFrame:
+    """The five most similar earlier events, of all symbols, of the five latest events of each symbol."""
+    return tidy(E.similar_earlier(table(spark, root, "stock_event_store")))

@@ -237,3 +237,34 @@ def test_every_factor_is_analysed(spark, bars):
 def test_ridge_takes_every_feature_with_known_values(spark, bars):
     rows = factor_panel(bars, ["momentum_20", "reversal_20", "momentum_240"], ("date", "symbol", "close")).withColumn("label", analysis.future(5)).withColumn("train", F.lit(True))
     assert evaluation.ridge_forecast(rows, ["momentum_20", "reversal_20", "momentum_240"], "label", "train").where("prediction IS NULL").count() == 0
+
+
+def test_similar_events_are_searched_among_all_earlier_ones(spark):
+    """Against brute force, with symbols of one to thirty events: matches lie further back and on other symbols."""
+    rnd = np.random.default_rng(5)
+    nouns, verbs, kinds = ["glass", "potash", "tin ingot", "benzene"], ["rumour about", "penalty for", "deal on"], ["risk", "order", ""]
+    rows, symbols = [], [f"{s:06d}" for s in (1, 2, 3, 4) for _ in range(s * s * 2 - 1)]
+    for i in range(60):
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(rnd.integers(40))) if i % 17 else None
+        rows.append((i, f"e{i % 50}", symbols[i % len(symbols)], at, str(rnd.choice(kinds)), "neutral", f"{rnd.choice(verbs)} {rnd.choice(nouns)}", f"case {rnd.integers(9)}" if i % 3 else None, None, "news"))
+    names = ["row_id", "event_id", "symbol", "published_at", "event_type", "sentiment", "title", "summary", "entity_link_keywords", "source_category"]
+    frame = spark.createDataFrame(rows, "row_id long, event_id string, symbol string, published_at timestamp, event_type string, sentiment string, title string, summary string, entity_link_keywords string, source_category string")
+    known = [dict(zip(names, r, strict=True)) for r in rows if r[3]]
+    for r in known:
+        r["grams"] = events.char_grams(" ".join(r[n] or "" for n in names[4:]))
+    want = {}
+    for symbol in set(symbols):
+        for q in sorted((r for r in known if r["symbol"] == symbol), key=lambda r: (r["published_at"], r["row_id"]))[-5:]:
+            found = []
+            for c in known:
+                if c["published_at"] < q["published_at"] and c["event_id"] != q["event_id"]:
+                    score = len(q["grams"] & c["grams"]) / len(q["grams"] | c["grams"])
+                    if score >= 0.3:
+                        found.append((c["symbol"] != symbol, c["event_type"] != q["event_type"], -score, -c["published_at"].timestamp(), c["row_id"]))
+            for place, f in enumerate(sorted(found)[:5], 1):
+                want[q["row_id"], place] = (f[4], round(-f[2], 9))
+    for block in (4096, 3):
+        got = {(r.query_id, r.place): (r.match_id, round(r.similarity, 9)) for r in events.similar_earlier(frame, least=0.3, block=block).collect()}
+        assert got == want
+    other = {r["row_id"]: r["symbol"] for r in known}
+    assert any(other[q] != other[m] for (q, _), (m, _) in want.items()) and len(want) > 40
