@@ -158,7 +158,7 @@ def split_packed(sources: Sequence[tuple[str, DataFrame, str, Sequence[str]]], r
 
     A model learned per column by expectation-maximisation scores every reading of a field; Viterbi picks the likeliest.
     Quoted spans are single atoms of the lattice. Then an exact check: an unquoted value may hold no separator, so a
-    reading that joined atoms is cut there. pos counts the values of a field from 1. With audit, a column `recut` says
+    reading that joined atoms is cut there. This undoes every join, so atoms() alone determines the rows. pos counts the values of a field from 1. With audit, a column `recut` says
     whether the check had to cut.
 
     Null and empty fields, and fields of separators only, give no row. Repeated values stay. A mark without its partner
