@@ -179,7 +179,8 @@ def top_score(f: np.ndarray, weights: np.ndarray, bias: float) -> tuple[float, i
 def fit(feats: Sequence[np.ndarray], labels: np.ndarray, rounds: int = 3, epochs: int = 2, alpha: float = 0.15, l1: float = 0.6, l2: float = 0.5, seed: int = 7, batch: int = 64) -> Ftrl:
     """Fit on labelled documents: windows of clean documents count as clean, of a marked document the highest-scoring one as marked.
 
-    In the first round every window of a marked document counts, weighted down; later rounds re-choose.
+    In the first round every window of a marked document counts, weighted down; later rounds re-choose. Of clean documents
+    every window of the grid counts in every round, in later ones the highest-scoring one too.
     """
     random = np.random.default_rng(seed)
     model = Ftrl(alpha, l1, l2)
@@ -194,7 +195,7 @@ def fit(feats: Sequence[np.ndarray], labels: np.ndarray, rounds: int = 3, epochs
             if y and turn:
                 grid = [top_score(f, weights, bias)[1]]
             elif turn:
-                grid = grid[int(random.integers(2)) :: 2] + [top_score(f, weights, bias)[1]]
+                grid += [top_score(f, weights, bias)[1]]
             places += [(doc, s) for s in grid]
             ys += [float(y)] * len(grid)
             ws += [1.0 / len(grid) if y else 1.0] * len(grid)

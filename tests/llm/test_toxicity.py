@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from barloom.llm import toxicity
 from barloom.llm.toxicity import best_threshold, features, fit_model, rates_by, score_documents, words
 
 
@@ -59,3 +60,16 @@ def test_nulls_and_no_labels(spark):
         rows = score_documents(d, fit_model(d, marks), keep=["source"]).collect()
         assert len(rows) == 4 and not any(r.flagged for r in rows)
     assert score_documents(d.limit(0), fit_model(d, labels)).count() == 0
+
+
+def test_every_window_of_clean_documents_counts_in_every_round(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_window_rows", lambda feats, places, real=toxicity._window_rows: seen.append(places) or real(feats, places))
+    rnd = np.random.default_rng(2)
+    feats = [features(rnd.integers(0, 400, 95).astype(np.uint64)) for _ in range(12)]
+    labels = np.array([1] * 4 + [0] * 8)
+    for rounds in (1, 2, 3):
+        seen.clear()
+        toxicity.fit(feats, labels, rounds=rounds, epochs=1, batch=4096)
+        last = {tuple(p) for p in seen[-1].tolist()}
+        assert {(doc, s) for doc in range(4, 12) for s in range(0, 85, 10)} <= last
