@@ -265,7 +265,8 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
 
     A document read by several annotators is marked where at least half of them mark it. Annotators err, so the labels
     are first checked with models that did not see them: marked documents that score like the mass of clean ones and
-    clean ones that score like marked ones are left out. The threshold comes from held-out scores of the rest. Labels
+    clean ones that score like marked ones are left out, however few there are; only where no clean document would stay,
+    all of them do. The threshold comes from held-out scores of the rest. Labels
     without a document, null texts and null labels count for nothing; of a repeated document one text is read. Without any marked document nothing scores. With
     by_kind there are weights per kind too, not only for any of them.
     """
@@ -295,8 +296,8 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
     blind = _held_out(spark, data, y, keep, CAUTIOUS)
     if (y == 0).any():
         believed = (y == 1) & (blind > best_threshold(blind, y))
-        if believed.sum() >= 2 * FOLDS:
-            keep = believed | ((y == 0) & (blind < np.median(blind[believed])))
+        clean = (y == 0) & (blind < np.median(blind[believed]))
+        keep = believed | (clean if clean.any() else y == 0)
     checked = _held_out(spark, data, y, keep, KEEN)
     threshold = best_threshold(checked[keep], y[keep])
     targets = {"any": y, **{k: (y == 1) & (rows[f"v_{k}"].to_numpy() >= 0.5) for k in kinds if by_kind}}

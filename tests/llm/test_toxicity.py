@@ -73,3 +73,21 @@ def test_every_window_of_clean_documents_counts_in_every_round(monkeypatch):
         toxicity.fit(feats, labels, rounds=rounds, epochs=1, batch=4096)
         last = {tuple(p) for p in seen[-1].tolist()}
         assert {(doc, s) for doc in range(4, 12) for s in range(0, 85, 10)} <= last
+
+
+def test_few_labels_are_checked_too(spark, monkeypatch):
+    """Three marked documents that score as such and one that scores like the clean ones."""
+    blind, kept = np.array([3.0, 3.1, 3.2, -3.25, -3.1, -3.2, -3.3, 3.3]), []
+
+    def held_out(spark, data, y, keep, settings):
+        kept.append(keep)
+        return blind
+
+    monkeypatch.setattr(toxicity, "_held_out", held_out)
+    d = spark.createDataFrame([(k, f"word{k} other", "s") for k in range(8)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, int(k < 4), 0, 0) for k in range(8)], "doc_id long, abusive int, hateful int, sexual int")
+    fit_model(d, labels, by_kind=False)
+    assert kept[1].tolist() == [True, True, True, False, True, True, True, False]
+    blind = np.zeros(8)
+    fit_model(d, labels, by_kind=False)
+    assert kept[3].all()
