@@ -11,14 +11,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BITS = 20
 #: Words a window holds; a document scores as its highest window.
 WINDOW, STRIDE = 20, 10
-#: At most so many labelled documents are read for fitting.
-MOST_LABELLED = 12_000
+#: At most so many labelled documents, and so many characters of them, are read for fitting.
+MOST_LABELLED, MOST_CHARS = 12_000, 12_000_000
+#: Fewer marked documents than this teach nothing: no model then, and the reason is given.
+LEAST_MARKED = 5
 KINDS = ("abusive", "hateful", "sexual")
 
 _HAN = "\u3005\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -99,25 +101,29 @@ def features(h: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Sparse weights and bias per kind of content and for any of them, and the threshold on the score of 'any'."""
+    """Sparse weights and bias per kind of content and for any of them, and the threshold on the score of 'any'; or the reason why there are none."""
 
     index: dict[str, np.ndarray]
     value: dict[str, np.ndarray]
     bias: dict[str, float]
     threshold: float
+    reason: str | None = None
 
-    def dense(self, kind: str) -> np.ndarray:
-        w = np.zeros((1 << BITS) + 1, dtype=np.float32)
-        w[self.index[kind]] = self.value[kind]
+    def dense(self, kinds: Sequence[str]) -> np.ndarray:
+        """(features, kinds) weights; the last row, for -1, is zero."""
+        w = np.zeros(((1 << BITS) + 1, len(kinds)), dtype=np.float32)
+        for k, kind in enumerate(kinds):
+            w[self.index[kind], k] = self.value[kind]
         return w
 
 
-def window_scores(f: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
-    """Score of the window starting at each position, the last ones cut short by the end of the text."""
+def window_scores(f: np.ndarray, w: np.ndarray, bias: np.ndarray | float) -> np.ndarray:
+    """Score of the window starting at each position, the last ones cut short by the end of the text; w may hold a column per kind."""
     per_position = w[f].sum(axis=0, dtype=np.float64)
-    total = np.concatenate([[0.0], np.cumsum(per_position)])
-    ends = np.minimum(np.arange(len(per_position)) + WINDOW, len(per_position))
-    return total[ends] - total[:-1] + bias
+    n = len(per_position)
+    total = np.zeros((n + 1, *per_position.shape[1:]))
+    np.cumsum(per_position, axis=0, out=total[1:])
+    return total[np.minimum(np.arange(n) + WINDOW, n)] - total[:-1] + bias
 
 
 class Ftrl:
@@ -125,7 +131,7 @@ class Ftrl:
 
     def __init__(self, alpha: float, l1: float, l2: float, beta: float = 1.0):
         size = (1 << BITS) + 1  # the last slot is for -1, no feature
-        self.z, self.n = np.zeros(size), np.zeros(size)
+        self.z, self.n, self.g = np.zeros(size), np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.bias_z = self.bias_n = 0.0
         self.bias = 0.0
@@ -139,18 +145,20 @@ class Ftrl:
         return w
 
     def update(self, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        """rows: (batch, features) numbers, padded with -1."""
-        at, inverse = np.unique(rows.ravel(), return_inverse=True)
-        n = self.n[at]
-        w = self._weights(self.z[at], n)
+        """rows: (batch, features) numbers, padded with -1. A feature that stands several times is computed as often, with the same outcome."""
+        at = rows.ravel()
+        n, z = self.n[at], self.z[at]
+        w = self._weights(z, n)
         w[at < 0] = 0.0
-        score = w[inverse].reshape(rows.shape).sum(axis=1) + self.bias
+        score = w.reshape(rows.shape).sum(axis=1) + self.bias
         error = (1.0 / (1.0 + np.exp(-np.clip(score, -30, 30))) - y) * weight
-        g = np.bincount(inverse, weights=np.repeat(error, rows.shape[1]), minlength=len(at))
+        np.add.at(self.g, at, np.repeat(error, rows.shape[1]))
+        g = self.g[at]
+        self.g[at] = 0.0
         g[at < 0] = 0.0
         squared = g * g
-        self.z[at] += g - (np.sqrt(n + squared) - np.sqrt(n)) / self.alpha * w
-        self.n[at] += squared
+        self.z[at] = z + g - (np.sqrt(n + squared) - np.sqrt(n)) / self.alpha * w
+        self.n[at] = n + squared
         gb = float(error.sum())
         sigma = (np.sqrt(self.bias_n + gb * gb) - np.sqrt(self.bias_n)) / self.alpha
         self.bias_z += gb - sigma * self.bias
@@ -158,13 +166,23 @@ class Ftrl:
         self.bias = -self.bias_z / ((self.beta + np.sqrt(self.bias_n)) / self.alpha)
 
 
-def _window_rows(feats: Sequence[np.ndarray], places: np.ndarray) -> np.ndarray:
-    """Features of the windows at places (document, start)."""
-    out = np.full((len(places), 6 * WINDOW), -1, dtype=np.int32)
-    for r, (doc, s) in enumerate(places):
-        part = feats[doc][:, s : s + WINDOW].ravel()
-        out[r, : len(part)] = part
-    return out
+class Corpus:
+    """The features of several documents end to end, each followed by a window's length of none, so that a window is a plain slice."""
+
+    def __init__(self, hashes: Sequence[np.ndarray]):
+        self.lengths = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths + WINDOW)]).astype(np.int64)
+        self.rows = np.full((int(self.starts[-1]), 6), -1, dtype=np.int32)
+        for h, a in zip(hashes, self.starts):
+            self.rows[a : a + len(h)] = features(h).T
+
+    def document(self, doc: int) -> np.ndarray:
+        return self.rows[self.starts[doc] : self.starts[doc] + self.lengths[doc]].T
+
+    def windows(self, places: np.ndarray) -> np.ndarray:
+        """Features of the windows at places (document, start)."""
+        begin = self.starts[places[:, 0]] + places[:, 1]
+        return self.rows[begin[:, None] + np.arange(WINDOW)].reshape(len(places), -1)
 
 
 def top_score(f: np.ndarray, weights: np.ndarray, bias: float) -> tuple[float, int]:
@@ -176,8 +194,8 @@ def top_score(f: np.ndarray, weights: np.ndarray, bias: float) -> tuple[float, i
     return float(scores[at]), at
 
 
-def fit(feats: Sequence[np.ndarray], labels: np.ndarray, rounds: int = 3, epochs: int = 2, alpha: float = 0.15, l1: float = 0.6, l2: float = 0.5, seed: int = 7, batch: int = 64) -> Ftrl:
-    """Fit on labelled documents: windows of clean documents count as clean, of a marked document the highest-scoring one as marked.
+def fit(corpus: Corpus, docs: np.ndarray, labels: np.ndarray, rounds: int = 3, epochs: int = 2, alpha: float = 0.15, l1: float = 0.6, l2: float = 0.5, seed: int = 7, batch: int = 64) -> Ftrl:
+    """Fit on the documents docs of corpus, labelled one by one: windows of clean documents count as clean, of a marked document the highest-scoring one as marked.
 
     In the first round every window of a marked document counts, weighted down; later rounds re-choose. Of clean documents
     every window of the grid counts in every round, in later ones the highest-scoring one too.
@@ -187,7 +205,8 @@ def fit(feats: Sequence[np.ndarray], labels: np.ndarray, rounds: int = 3, epochs
     for turn in range(rounds):
         weights, bias = model.weights(), model.bias
         places, ys, ws = [], [], []
-        for doc, (f, y) in enumerate(zip(feats, labels, strict=True)):
+        for doc, y in zip(docs.tolist(), labels, strict=True):
+            f = corpus.document(doc)
             n = f.shape[1]
             if not n:
                 continue
@@ -207,7 +226,7 @@ def fit(feats: Sequence[np.ndarray], labels: np.ndarray, rounds: int = 3, epochs
             order = random.permutation(len(at))
             for a in range(0, len(order), batch):
                 pick = order[a : a + batch]
-                model.update(_window_rows(feats, at[pick]), target[pick], weight[pick])
+                model.update(corpus.windows(at[pick]), target[pick], weight[pick])
     return model
 
 
@@ -224,12 +243,11 @@ def _parallel(spark: SparkSession, data: list, jobs: list[dict]) -> list[dict]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for j in batch.id:
-                job, feats = jobs[j], [features(h) for h in sent.value]
-                train = job["train"]
-                model = fit([feats[i] for i in train], job["y"][train], **job["settings"])
+                job, corpus = jobs[j], Corpus(sent.value)
+                model = fit(corpus, job["train"], job["y"][job["train"]], **job["settings"])
                 w = model.weights()
                 at = np.flatnonzero(w)
-                scores = [top_score(feats[i], w, model.bias)[0] for i in job["score"]]
+                scores = [top_score(corpus.document(i), w, model.bias)[0] for i in job["score"]]
                 yield pd.DataFrame({"job": [j], "at": [at.tolist()], "w": [w[at].tolist()], "bias": [model.bias], "scores": [scores]})
 
     schema = "job long, at array<int>, w array<float>, bias double, scores array<double>"
@@ -260,15 +278,16 @@ def best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.003) -> f
     return float((s[good[0]] + low) / 2)
 
 
-def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id", text: str = "text", kinds: Sequence[str] = KINDS, by_kind: bool = True, most_labelled: int = MOST_LABELLED) -> Model:
-    """Fit on the labelled documents, at most most_labelled of them (those of the smallest hashed ids).
+def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id", text: str = "text", kinds: Sequence[str] = KINDS, by_kind: bool = True, most_labelled: int = MOST_LABELLED, most_chars: int = MOST_CHARS, least_marked: int = LEAST_MARKED) -> Model:
+    """Fit on the labelled documents, at most most_labelled of them and most_chars characters (those of the smallest hashed ids, whole texts).
 
     A document read by several annotators is marked where at least half of them mark it. Annotators err, so the labels
     are first checked with models that did not see them: marked documents that score like the mass of clean ones and
     clean ones that score like marked ones are left out, however few there are; only where no clean document would stay,
     all of them do. The threshold comes from held-out scores of the rest. Labels
-    without a document, null texts and null labels count for nothing; of a repeated document one text is read. Without any marked document nothing scores. With
-    by_kind there are weights per kind too, not only for any of them.
+    without a document, null texts and null labels count for nothing; of a repeated document one text is read. With fewer
+    than least_marked marked documents, or none that is not, there is no model: nothing scores or is flagged, and the
+    reason is given. With by_kind there are weights per kind too, not only for any of them.
     """
     spark = documents.sparkSession
     mark = F.coalesce(F.greatest(*[F.col(k) for k in kinds]), F.lit(0))
@@ -277,6 +296,10 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
     texts = documents.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
     sample = texts.join(F.broadcast(chosen), "id")  # most_labelled narrow rows at most
     sample = sample.groupBy("id").agg(F.min("text").alias("text"), *[F.first(F.col(n)).alias(n) for n in ("any", *(f"v_{k}" for k in kinds))])
+    # Few rows with their lengths decide which texts are read; a running sum over at most most_labelled rows.
+    so_far = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    read = sample.select("id", F.sum(F.length("text")).over(so_far).alias("chars")).where(F.col("chars") <= most_chars).select("id")
+    sample = sample.join(F.broadcast(read), "id")
     names = ["any", *[f"v_{k}" for k in kinds]]
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,10 +311,11 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
     rows = sample.mapInPandas(hashed, schema).toPandas().sort_values("id", kind="stable").reset_index(drop=True)
     data = [np.frombuffer(h, dtype=np.uint32).astype(np.uint64) for h in rows.h]
     y = (rows["any"].to_numpy() >= 0.5).astype(int)
-    empty = np.zeros(0)
-    if not y.any():
+    if y.sum() < least_marked or y.all():
         every = ["any", *(kinds if by_kind else ())]
-        return Model({k: empty.astype(np.int64) for k in every}, {k: empty for k in every}, {k: -10.0 for k in every}, 0.0)
+        empty = np.zeros(0)
+        why = f"{int(y.sum())} marked and {int((y == 0).sum())} other documents with a text: at least {least_marked} and 1 are needed"
+        return Model({k: empty.astype(np.int64) for k in every}, {k: empty for k in every}, {k: -10.0 for k in every}, 0.0, why)
     keep = np.ones(len(y), dtype=bool)
     blind = _held_out(spark, data, y, keep, CAUTIOUS)
     if (y == 0).any():
@@ -308,33 +332,38 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, row_id: str = "doc_id"
 
 
 def score_documents(documents: DataFrame, model: Model, *, row_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, *keep, score, flagged, <kind>): every document with its score and the probability of each kind.
+    """(doc_id, *keep, score, flagged, <kind>, reason): every document with its score and the probability of each kind.
 
     score is the highest window's log-odds of any kind, over the whole text; flagged says whether it exceeds the model's
     threshold. A null text, or one without words, scores the bias alone and is not flagged. Repeated rows are scored each.
+    Where the labels made no model, scores and kinds are null, nothing is flagged and reason says why; else reason is null.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     kinds = [k for k in model.index if k != "any"]
     narrow = documents.select(F.col(row_id).cast("long").alias("__id"), F.col(text).alias("__text"), *[F.col(c) for c in keep])
+    if model.reason:
+        none = F.lit(None).cast("double")
+        return narrow.select(F.col("__id").alias("doc_id"), *keep, none.alias("score"), F.lit(False).alias("flagged"), *[none.alias(k) for k in kinds], F.lit(model.reason).alias("reason"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, hasher = sent.value, Hasher()
-        dense = {k: m.dense(k) for k in ("any", *kinds)}
+        names = ["any", *kinds]
+        weights, bias = m.dense(names), np.array([m.bias[k] for k in names])
         for batch in batches:
-            out = {k: np.full(len(batch), m.bias[k]) for k in dense}
+            top = np.tile(bias, (len(batch), 1))
             some = np.zeros(len(batch), dtype=bool)
             for r, body in enumerate(batch["__text"]):
                 f = features(hasher(body))
-                some[r] = f.shape[1] > 0
-                for k, w in dense.items():
-                    out[k][r] = top_score(f, w, m.bias[k])[0]
+                if f.shape[1]:
+                    some[r] = True
+                    top[r] = window_scores(f, weights, bias).max(axis=0)
             yield pd.DataFrame(
-                {"doc_id": batch["__id"], **{c: batch[c] for c in keep}, "score": out["any"], "flagged": some & (out["any"] > m.threshold), **{k: 1.0 / (1.0 + np.exp(-out[k])) for k in kinds}}
+                {"doc_id": batch["__id"], **{c: batch[c] for c in keep}, "score": top[:, 0], "flagged": some & (top[:, 0] > m.threshold), **{k: 1.0 / (1.0 + np.exp(-top[:, i + 1])) for i, k in enumerate(kinds)}}
             )
 
     types = {f.name: f.dataType.simpleString() for f in narrow.schema}
     schema = ["doc_id long", *(f"`{k}` {types[k]}" for k in keep), "score double", "flagged boolean", *(f"`{k}` double" for k in kinds)]
-    return narrow.mapInPandas(score, ", ".join(schema))
+    return narrow.mapInPandas(score, ", ".join(schema)).withColumn("reason", F.lit(None).cast("string"))
 
 
 def rates_by(scored: DataFrame, group: str) -> DataFrame:

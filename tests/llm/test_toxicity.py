@@ -64,13 +64,13 @@ def test_nulls_and_no_labels(spark):
 
 def test_every_window_of_clean_documents_counts_in_every_round(monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "_window_rows", lambda feats, places, real=toxicity._window_rows: seen.append(places) or real(feats, places))
+    monkeypatch.setattr(toxicity.Corpus, "windows", lambda self, places, real=toxicity.Corpus.windows: seen.append(places) or real(self, places))
     rnd = np.random.default_rng(2)
-    feats = [features(rnd.integers(0, 400, 95).astype(np.uint64)) for _ in range(12)]
+    corpus = toxicity.Corpus([rnd.integers(0, 400, 95).astype(np.uint64) for _ in range(12)])
     labels = np.array([1] * 4 + [0] * 8)
     for rounds in (1, 2, 3):
         seen.clear()
-        toxicity.fit(feats, labels, rounds=rounds, epochs=1, batch=4096)
+        toxicity.fit(corpus, np.arange(12), labels, rounds=rounds, epochs=1, batch=4096)
         last = {tuple(p) for p in seen[-1].tolist()}
         assert {(doc, s) for doc in range(4, 12) for s in range(0, 85, 10)} <= last
 
@@ -86,8 +86,30 @@ def test_few_labels_are_checked_too(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_held_out", held_out)
     d = spark.createDataFrame([(k, f"word{k} other", "s") for k in range(8)], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(k, int(k < 4), 0, 0) for k in range(8)], "doc_id long, abusive int, hateful int, sexual int")
-    fit_model(d, labels, by_kind=False)
+    fit_model(d, labels, by_kind=False, least_marked=4)
     assert kept[1].tolist() == [True, True, True, False, True, True, True, False]
     blind = np.zeros(8)
-    fit_model(d, labels, by_kind=False)
+    fit_model(d, labels, by_kind=False, least_marked=4)
     assert kept[3].all()
+
+
+def test_too_few_marks_give_a_reason(spark):
+    d = spark.createDataFrame([(k, f"word{k} other", "s") for k in range(8)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, int(k < 4), 0, 0) for k in range(8)], "doc_id long, abusive int, hateful int, sexual int")
+    rows = score_documents(d, fit_model(d, labels)).collect()
+    assert len(rows) == 8 and all(r.score is None and not r.flagged and "4 marked" in r.reason for r in rows)
+
+
+def test_bounded_sample_keeps_whole_texts(spark):
+    d = spark.createDataFrame([(k, "word " * 20, "s") for k in range(40)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, int(k % 2), 0, 0) for k in range(40)], "doc_id long, abusive int, hateful int, sexual int")
+    assert "marked" in fit_model(d, labels, most_chars=500, least_marked=6).reason
+    assert fit_model(d, labels, by_kind=False, most_chars=4_000, least_marked=6).reason is None
+
+
+def test_windows_are_slices_of_one_document():
+    h = [np.arange(1, 31, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.arange(5, 9, dtype=np.uint64)]
+    c = toxicity.Corpus(h)
+    got = c.windows(np.array([[0, 25], [2, 0]]))
+    for row, (f, a) in zip(got, ((features(h[0]), 25), (features(h[2]), 0))):
+        assert sorted(row[row >= 0].tolist()) == sorted(f[:, a : a + 20].ravel()[f[:, a : a + 20].ravel() >= 0].tolist())
