@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import cut_lineage
+
 BLOCK_DAYS = 32
+#: An entity with more than this share of all events is hot; so there are fewer than 64 hot ones.
+HOT_SHARE = 1 / 64
 
 
 def _block(day: Column) -> Column:
@@ -38,8 +42,13 @@ def day_in_force(events: DataFrame, versions: DataFrame, salt: int) -> DataFrame
 
     Version days of an entity lie in blocks of BLOCK_DAYS calendar days, each block one row with its days and when each
     became known. An event looks into its own block and, where nothing there was known yet, into the latest earlier block
-    with something known: two equi-joins, whatever the lookback. Blocks are replicated salt times to split hot entities.
+    with something known: two equi-joins, whatever the lookback. Blocks of entities that hold more than HOT_SHARE of all
+    events are replicated salt times and their events spread over the copies; those of all others are there once.
     """
+    per = events.groupBy("entity").agg(F.count(F.lit(1)).alias("n_"))
+    total = per.agg(F.sum("n_")).scalar()
+    hot = F.broadcast(cut_lineage(per.where(F.col("n_") > total * HOT_SHARE).select("entity", F.lit(salt).alias("salts_"))))
+    salted = lambda df: df.join(hot, "entity", "left").withColumn("salts_", F.coalesce("salts_", F.lit(1)))
     days = versions.groupBy("entity", "day").agg(F.min("known_at").alias("known_at"))
     blocks = days.groupBy("entity", _block(F.col("day")).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("day", "known_at"))).alias("days"), F.min("known_at").alias("first_known")
@@ -49,21 +58,21 @@ def day_in_force(events: DataFrame, versions: DataFrame, salt: int) -> DataFrame
     before = Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col("first_known").isNotNull(), F.struct("block", "first_known"))
     spine = spine.select("entity", "block", "days", F.collect_list(known).over(before).alias("earlier"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt")
-    slot = F.pmod(F.xxhash64("event_id"), F.lit(salt)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts_") - 1)).alias("salt")
+    slot = F.pmod(F.xxhash64("event_id"), F.col("salts_")).cast("int")
 
     def latest_known(array: str, field: str, extra: Column | None = None) -> Column:
         ok = F.filter(array, lambda e: (e["known_at" if field == "day" else "first_known"] <= F.col("known_by")) & (e["day"] <= F.col("limit_day") if field == "day" else F.lit(True)))
         return F.try_element_at(ok, F.lit(-1))[field]
 
-    own = events.withColumn("block", _block(F.col("limit_day"))).withColumn("salt", slot)
-    own = own.join(spine.select("*", salts), ["entity", "block", "salt"])
+    own = salted(events).withColumn("block", _block(F.col("limit_day"))).withColumn("salt", slot).drop("salts_")
+    own = own.join(salted(spine).select("*", salts).drop("salts_"), ["entity", "block", "salt"])
     own = own.select("entity", "event_id", "limit_day", "known_by", "salt", latest_known("days", "day").alias("day"), latest_known("earlier", "block").alias("back"))
     # Events that need no second look get a key without a partner, spread evenly.
     nowhere = -1_000_000 - F.pmod(F.xxhash64("event_id"), F.lit(4096)).cast("int")
     own = own.withColumn("block", F.when(F.col("day").isNull(), F.col("back")))
     own = own.withColumn("block", F.coalesce("block", nowhere)).drop("back")
-    far = own.join(blocks.select("entity", "block", "days", salts), ["entity", "block", "salt"], "left")
+    far = own.join(salted(blocks).select("entity", "block", "days", salts), ["entity", "block", "salt"], "left")
     found = F.coalesce("day", latest_known("days", "day"))
     return far.select("entity", "event_id", "known_by", found.alias("day")).where("day IS NOT NULL")
 
