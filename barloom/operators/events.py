@@ -9,41 +9,45 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import by_symbol
 from barloom.functions.text import symbol_code
 from barloom.operators.trailing import day_number
+from barloom.operators.ranking import pooled_medians
 from barloom.session import cut_lineage
 
 
-def first_deliveries(events: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """Of the rows of a key the one with the smallest order; rows with a null in the key all stay."""
-    known = F.lit(True)
-    for k in key:
-        known = known & F.col(k).isNotNull()
-    first = events.where(known).groupBy(*key).agg(F.min(order).alias(order)).select(order)
-    return events.where(~known).unionByName(events.where(known).join(first, order, "left_semi"))
+def last_deliveries(events: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Of the rows of a key the one with the greatest order; nulls in the key are alike. order must identify rows.
+
+    Only key and order are aggregated, map-side first, and the rows kept are found by order, which spreads evenly.
+    """
+    last = events.groupBy(*key).agg(F.max(order).alias(order)).select(order)
+    return events.join(last, order, "left_semi")
 
 
 def event_factors(events: DataFrame, *, long_days: int = 30, short_days: int = 5, decay_days: float = 7.0) -> DataFrame:
     """Per symbol and weekday from its first to its last event with an event in the last long_days: counts, decayed means and the latest event.
 
-    events: symbol, effective_date, sentiment, impact_score, weighted_impact_score, source_reliability, confidence,
-    event_type, published_at, row_id. Events are summed per symbol and day first; the weight depends on the day alone.
+    events: symbol, effective_date, sentiment, impact_score, weighted_impact_score, source_reliability, entity_link_confidence,
+    confidence, event_type, title, source, published_at, row_id. Risky: negative, or of a type that names a risk. Events are summed per symbol and day first; the weight depends on the day alone.
     """
-    weighted = ["impact_score", "weighted_impact_score", "source_reliability"]
+    weighted = ["impact_score", "weighted_impact_score", "source_reliability", "entity_link_confidence"]
+    latest = ["event_type", "title", "source", "sentiment"]
     daily = (
         events.where("symbol IS NOT NULL AND effective_date IS NOT NULL")
         .groupBy("symbol", "effective_date")
         .agg(
             F.count(F.lit(1)).alias("n"),
             *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("positive", "negative")],
+            F.count_if((F.col("sentiment") == "negative") | F.col("event_type").contains("risk")).alias("risky"),
+            F.count_if(F.col("source_reliability") >= 0.8).alias("reliable"),
             *[F.sum(F.coalesce(x, F.lit(0.0)).cast("decimal(24,10)")).cast("double").alias(x) for x in weighted],
             F.sum(F.col("confidence").cast("decimal(24,10)")).cast("double").alias("confidence"),
             F.count("confidence").alias("confidences"),
-            F.max(F.struct("published_at", "row_id", "event_type")).alias("latest"),
+            F.max(F.struct("published_at", "row_id", *latest)).alias("latest"),
         )
     )
     spans = daily.groupBy("symbol").agg(F.min("effective_date").alias("lo"), F.max("effective_date").alias("hi"))
@@ -63,9 +67,11 @@ def event_factors(events: DataFrame, *, long_days: int = 30, short_days: int = 5
             F.sum("n").alias("event_count_20d"),
             F.sum("positive").alias("positive_event_count"),
             F.sum("negative").alias("negative_event_count"),
-            *[F.try_divide(F.sum(F.col("w") * F.col(x)), mass).alias(name) for x, name in zip(weighted, ("event_impact_score", "event_weighted_impact_score", "event_reliability_mean"))],
+            *[F.try_divide(F.sum(F.col("w") * F.col(x)), mass).alias(name) for x, name in zip(weighted, ("event_impact_score", "event_weighted_impact_score", "event_reliability_mean", "event_link_confidence_mean"))],
             F.try_divide(F.sum("confidence"), F.sum("confidences")).alias("event_confidence_mean"),
-            F.max("latest")["event_type"].alias("latest_event_type"),
+            F.sum("risky").alias("event_risk_count"),
+            F.sum("reliable").alias("high_reliability_event_count"),
+            *[F.max("latest")[x].alias(f"latest_{x if x.startswith('event') else 'event_' + x}") for x in latest],
         )
         .drop("bucket")
     )
@@ -92,21 +98,38 @@ def event_returns(events: DataFrame, bars: DataFrame, horizons: Sequence[int]) -
     return wanted.join(labels, ["symbol", "trade_date", "horizon_days"], "left")
 
 
-def event_cohorts(returns: DataFrame, levels: Sequence[Sequence[str]]) -> DataFrame:
-    """(cohort_level, cohort_key, horizon_days, sample statistics) for several groupings in one pass over the rows."""
+def event_cohorts(returns: DataFrame, levels: Sequence[Sequence[str]], means: Sequence[str] = ()) -> DataFrame:
+    """(cohort_level, cohort_key, horizon_days, sample statistics, mean_<m>) for several groupings in one pass over the rows.
+
+    A null is a value of its own in a cohort's key, shown as '(null)'. Medians come from pooled ranks, so a cohort may
+    hold any share of the rows. In the means of other columns a null counts as zero.
+    """
     known = returns.where("forward_return IS NOT NULL")
-    names = sorted({c for level in levels for c in level})
-    cohort = F.explode(F.array(*[F.struct(F.lit("_".join(level)).alias("level"), F.concat_ws("|", *level).alias("key")) for level in levels])).alias("c")
-    rows = known.select("horizon_days", "forward_return", "excess_return", *names, cohort)
+    shown = lambda level: F.array_join(F.array(*[F.coalesce(F.col(x).cast("string"), F.lit("(null)")) for x in level]), "|")
+    cohorts = [F.struct(F.lit("_".join(level)).alias("level"), F.to_json(F.struct(*level)).alias("id"), shown(level).alias("shown")) for level in levels]
+    rows = known.select("horizon_days", "forward_return", "excess_return", *means, F.explode(F.array(*cohorts)).alias("c"))
+    rows = rows.select(F.col("c.level").alias("cohort_level"), F.col("c.id").alias("id_"), F.col("c.shown").alias("shown_"), "horizon_days", "forward_return", "excess_return", *means)
+    key = ["cohort_level", "id_", "horizon_days"]
     n, mean, std = F.count(F.lit(1)), F.avg("forward_return"), F.coalesce(F.stddev_samp("forward_return"), F.lit(0.0))
-    return rows.groupBy(F.col("c.level").alias("cohort_level"), F.col("c.key").alias("cohort_key"), "horizon_days").agg(
+    stats = rows.groupBy(*key).agg(
+        F.first("shown_").alias("cohort_key"),
         n.alias("sample_count"),
         mean.alias("mean_return"),
-        F.percentile("forward_return", 0.5).alias("median_return"),
         F.avg((F.col("forward_return") > 0).cast("double")).alias("positive_rate"),
-        F.avg("excess_return").alias("mean_excess_return"),
+        F.coalesce(F.avg("excess_return"), F.lit(0.0)).alias("mean_excess_return"),
         std.alias("return_std"),
         F.when((n > 1) & (std > 0), mean / (std / F.sqrt(n.cast("double")))).otherwise(0.0).alias("t_stat"),
+        *[F.avg(F.coalesce(F.col(m), F.lit(0.0))).alias(f"mean_{m}") for m in means],
+    )
+    return stats.join(pooled_medians(rows.select(*key, "forward_return"), key, "forward_return", "median_return"), key).drop("id_")
+
+
+def study_summary(returns: DataFrame, event_id: str) -> DataFrame:
+    """Per horizon: events and symbols with a return, mean returns, share of gains and span of days."""
+    known = returns.where("forward_return IS NOT NULL")
+    return known.groupBy("horizon_days").agg(
+        F.count_distinct(event_id).alias("events"), F.count_distinct("symbol").alias("symbols"), F.avg("forward_return").alias("mean_return"), F.avg("excess_return").alias("mean_excess_return"),
+        F.avg((F.col("forward_return") > 0).cast("double")).alias("positive_rate"), F.min("effective_date").alias("first_day"), F.max("effective_date").alias("last_day"),
     )
 
 
@@ -132,10 +155,10 @@ def prior_outcomes(returns: DataFrame, cohort: Sequence[str], keep: Sequence[str
 def coverage_by_symbol(events: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per requested symbol: events, first and last day, distinct types in order, sentiments; zero rows where there is none."""
     per = events.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"), F.min("effective_date").alias("first_day"), F.max("effective_date").alias("last_day"), F.array_join(F.array_sort(F.collect_set("event_type")), ";").alias("types"), F.count_if(F.col("sentiment") == "negative").alias("neg"), F.avg(F.col("source_reliability").cast("decimal(20,10)")).cast("double").alias("mean_reliability")
+        F.count(F.lit(1)).alias("n"), F.min("effective_date").alias("first_day"), F.max("effective_date").alias("last_day"), F.array_join(F.array_sort(F.collect_set("event_type")), ";").alias("types"), F.count_if(F.col("sentiment") == "negative").alias("neg"), F.count_if(F.col("sentiment") == "positive").alias("pos"), F.count_if((F.col("sentiment") == "negative") | F.col("event_type").contains("risk")).alias("risky"), F.avg(F.col("source_reliability").cast("decimal(20,10)")).cast("double").alias("mean_reliability")
     )
     return symbols.select("symbol").distinct().join(per, "symbol", "left").select(
-        "symbol", F.coalesce("n", F.lit(0)).alias("event_count"), "first_day", "last_day", F.coalesce("types", F.lit("")).alias("event_types"), F.coalesce("neg", F.lit(0)).alias("negative_count"), "mean_reliability"
+        "symbol", F.coalesce("n", F.lit(0)).alias("event_count"), "first_day", "last_day", F.coalesce("types", F.lit("")).alias("event_types"), F.coalesce("neg", F.lit(0)).alias("negative_count"), F.coalesce("pos", F.lit(0)).alias("positive_count"), F.coalesce("risky", F.lit(0)).alias("risk_count"), "mean_reliability"
     )
 
 
@@ -153,15 +176,29 @@ def latest_within(asked: DataFrame, rows: DataFrame, max_age: int, attributes: S
     return left.alias("l").join(right.alias("r"), near, "left").groupBy("l.symbol", "l.bucket", "l.date").agg(best.alias("b")).select("symbol", "date", F.col("b.row_date").alias("event_date"), *[F.col(f"b.{a}").alias(a) for a in attributes])
 
 
+def _held_events(holdings: DataFrame, factors: DataFrame) -> DataFrame:
+    fields = ["event_count_20d", "positive_event_count", "negative_event_count", "event_risk_count", "impact"]
+    impact = F.coalesce("event_weighted_impact_score", "event_impact_score")
+    narrow = factors.select("date", "symbol", *fields[:-1], impact.alias("impact"))
+    joined = holdings.select("date", "symbol", F.coalesce("weight", F.lit(0.0)).alias("weight")).join(narrow, ["date", "symbol"], "left")
+    return joined.select("date", "symbol", "weight", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in fields])
+
+
 def exposure(holdings: DataFrame, factors: DataFrame) -> DataFrame:
-    """Per date: weight held, weight with events, and weighted event scores of the holdings."""
-    joined = holdings.join(factors, ["date", "symbol"], "left")
-    exposed = F.coalesce("event_count_20d", F.lit(0)) > 0
-    return joined.groupBy("date").agg(
-        F.sum("weight").alias("total_weight"),
-        F.coalesce(F.sum(F.when(exposed, F.col("weight"))), F.lit(0.0)).alias("exposed_weight"),
-        F.count_if(exposed).alias("exposed_symbols"),
-        F.sum(F.col("weight") * F.coalesce("event_impact_score", F.lit(0.0))).alias("weighted_impact"),
+    """Per date: holdings, weight held, weight with events and with risk events, and weighted event scores. factors: one row per date and symbol."""
+    times = lambda x: F.sum(F.col("weight") * F.col(x))
+    held = lambda x: F.sum(F.when(F.col(x) > 0, F.col("weight")).otherwise(0.0))
+    return _held_events(holdings, factors).groupBy("date").agg(
+        F.count_distinct("symbol").alias("holding_count"), F.sum("weight").alias("gross_weight"), held("event_count_20d").alias("event_exposed_weight"), held("event_risk_count").alias("risk_event_weight"),
+        times("impact").alias("weighted_event_impact"), times("positive_event_count").alias("weighted_positive_events"), times("negative_event_count").alias("weighted_negative_events"), times("event_risk_count").alias("weighted_risk_events"),
+    )
+
+
+def exposure_by_symbol(holdings: DataFrame, factors: DataFrame) -> DataFrame:
+    """Per symbol ever held: days, weights, days with events and with risk events, and weighted event scores."""
+    return _held_events(holdings, factors).groupBy("symbol").agg(
+        F.count_distinct("date").alias("days_held"), F.avg("weight").alias("avg_weight"), F.max("weight").alias("max_weight"), F.count_if(F.col("event_count_20d") > 0).alias("event_exposed_days"), F.count_if(F.col("event_risk_count") > 0).alias("risk_event_days"),
+        F.avg("impact").alias("avg_event_impact"), F.sum(F.col("weight") * F.col("impact")).alias("weighted_event_impact"), F.sum(F.col("weight") * F.col("event_risk_count")).alias("weighted_risk_events"),
     )
 
 
@@ -174,17 +211,6 @@ def price_shocks(series: DataFrame, one_row: float, five_rows_factor: float = 1.
     return moved.where(hit).select("symbol", "date", "r1", "r5", F.greatest(F.lit(-cap), F.least(F.lit(cap), 8 * dominant)).alias("impact"))
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """Distinct character n-grams of lower-case text without white space; a shorter text is its own only one."""
-    t = F.lower(F.regexp_replace(text, r"\s+", ""))
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
-
-
 def char_grams(text: str) -> set[str]:
     """Character 2-, 3- and 4-grams of lower-case text without white space; a single character is its own only one."""
     clean = re.sub(r"\s+", "", text.lower())

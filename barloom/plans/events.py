@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import events as E
+from barloom.operators.quality import normalize_bars
 from barloom.plans.factors import lag
 from barloom.plans.research import _TARGETS, rounded, targets, tidy, with_final
 from barloom.sources import table
@@ -26,9 +27,9 @@ def query(sql: str | None = None, dates: str = ""):
     return add
 
 
-@query("SELECT row_id, event_id, symbol FROM stock_event_store WHERE raw_hash IS NULL OR symbol IS NULL UNION ALL SELECT row_id, event_id, symbol FROM (SELECT * FROM stock_event_store WHERE raw_hash IS NOT NULL AND symbol IS NOT NULL QUALIFY row_number() OVER (PARTITION BY raw_hash, symbol ORDER BY row_id) = 1)")
+@query("SELECT row_id, event_id, symbol FROM stock_event_store QUALIFY row_number() OVER (PARTITION BY raw_hash, symbol ORDER BY row_id DESC) = 1")
 def event_store_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return E.first_deliveries(table(spark, root, "stock_event_store"), ["raw_hash", "symbol"], "row_id").select("row_id", "event_id", "symbol")
+    return E.last_deliveries(table(spark, root, "stock_event_store"), ["raw_hash", "symbol"], "row_id").select("row_id", "event_id", "symbol")
 
 
 _FACTORS = """
@@ -40,17 +41,19 @@ ef AS (SELECT c.symbol, c.date, count(*) FILTER (WHERE e.effective_date >= c.dat
   sum(exp(-(c.date - e.effective_date) / 7.0) * coalesce(impact_score, 0)) / sum(exp(-(c.date - e.effective_date) / 7.0)) AS event_impact_score,
   sum(exp(-(c.date - e.effective_date) / 7.0) * coalesce(weighted_impact_score, 0)) / sum(exp(-(c.date - e.effective_date) / 7.0)) AS event_weighted_impact_score,
   sum(exp(-(c.date - e.effective_date) / 7.0) * coalesce(source_reliability, 0)) / sum(exp(-(c.date - e.effective_date) / 7.0)) AS event_reliability_mean,
-  avg(confidence) AS event_confidence_mean,
-  list(event_type ORDER BY published_at DESC NULLS LAST, row_id DESC)[1] AS latest_event_type
+  sum(exp(-(c.date - e.effective_date) / 7.0) * coalesce(entity_link_confidence, 0)) / sum(exp(-(c.date - e.effective_date) / 7.0)) AS event_link_confidence_mean,
+  avg(confidence) AS event_confidence_mean, count(*) FILTER (WHERE sentiment = 'negative' OR event_type LIKE '%risk%') AS event_risk_count, count(*) FILTER (WHERE source_reliability >= 0.8) AS high_reliability_event_count,
+  list(event_type ORDER BY published_at DESC NULLS LAST, row_id DESC)[1] AS latest_event_type, list(title ORDER BY published_at DESC NULLS LAST, row_id DESC)[1] AS latest_event_title,
+  list(source ORDER BY published_at DESC NULLS LAST, row_id DESC)[1] AS latest_event_source, list(sentiment ORDER BY published_at DESC NULLS LAST, row_id DESC)[1] AS latest_event_sentiment
 FROM cal c JOIN e ON e.symbol = c.symbol AND e.effective_date BETWEEN c.date - 30 AND c.date GROUP BY 1, 2)"""
 
 
-@query(with_final(_FACTORS, "SELECT * FROM ef", "event_impact_score event_weighted_impact_score event_reliability_mean event_confidence_mean"), dates="date")
+@query(with_final(_FACTORS, "SELECT * FROM ef", "event_impact_score event_weighted_impact_score event_reliability_mean event_link_confidence_mean event_confidence_mean"), dates="date")
 def event_factors(spark: SparkSession, root: str) -> DataFrame:
     return tidy(E.event_factors(table(spark, root, "stock_event_store")))
 
 
-@query(rounded("SELECT u.symbol, count(e.row_id) AS event_count, min(effective_date) AS first_day, max(effective_date) AS last_day, coalesce(string_agg(DISTINCT event_type, ';' ORDER BY event_type), '') AS event_types, count(*) FILTER (WHERE sentiment = 'negative') AS negative_count, CAST(sum(CAST(source_reliability AS DECIMAL(20,10))) AS DOUBLE) / nullif(count(source_reliability), 0) AS mean_reliability FROM (SELECT DISTINCT symbol FROM daily_bar) u LEFT JOIN stock_event_store e USING (symbol) GROUP BY 1", "mean_reliability"), dates="first_day last_day")
+@query(rounded("SELECT u.symbol, count(e.row_id) AS event_count, min(effective_date) AS first_day, max(effective_date) AS last_day, coalesce(string_agg(DISTINCT event_type, ';' ORDER BY event_type), '') AS event_types, count(*) FILTER (WHERE sentiment = 'negative') AS negative_count, count(*) FILTER (WHERE sentiment = 'positive') AS positive_count, count(*) FILTER (WHERE sentiment = 'negative' OR event_type LIKE '%risk%') AS risk_count, CAST(sum(CAST(source_reliability AS DECIMAL(20,10))) AS DOUBLE) / nullif(count(source_reliability), 0) AS mean_reliability FROM (SELECT DISTINCT symbol FROM daily_bar) u LEFT JOIN stock_event_store e USING (symbol) GROUP BY 1", "mean_reliability"), dates="first_day last_day")
 def event_coverage(spark: SparkSession, root: str) -> DataFrame:
     return tidy(E.coverage_by_symbol(table(spark, root, "stock_event_store"), table(spark, root, "daily_bar")))
 
@@ -73,12 +76,42 @@ def event_impact_returns(spark: SparkSession, root: str) -> DataFrame:
     return tidy(outcomes(spark, root))
 
 
-_STATS = "count(*) AS sample_count, avg(forward_return) AS mean_return, quantile_cont(forward_return, 0.5) AS median_return, avg(CASE WHEN forward_return > 0 THEN 1.0 ELSE 0.0 END) AS positive_rate, avg(excess_return) AS mean_excess_return, coalesce(stddev_samp(forward_return), 0) AS return_std, CASE WHEN count(*) > 1 AND stddev_samp(forward_return) > 0 THEN avg(forward_return) / (stddev_samp(forward_return) / sqrt(count(*))) ELSE 0 END AS t_stat"
+#: name -> columns of the groupings of the event study.
+COHORTS = {"event_type": ["event_type"], "sentiment": ["sentiment"], "event_type_sentiment": ["event_type", "sentiment"], "event_type_reliability": ["event_type", "reliability"], "source_category": ["source_category"]}
+_LEVELS = [COHORTS[n] for n in COHORTS]
 
 
-@query(with_final(_RETURNS, " UNION ALL ".join(f"SELECT '{name}' AS cohort_level, {key} AS cohort_key, horizon_days, {_STATS} FROM ret WHERE forward_return IS NOT NULL GROUP BY ALL" for name, key in (("event_type", "event_type"), ("source", "source"), ("event_type_source", "event_type || '|' || source"))), "mean_return median_return positive_rate mean_excess_return return_std t_stat", 5))
+def store_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    """Every stored event with its returns over 1, 5 and 20 clean bars of daily_bar."""
+    level = F.when(F.col("source_reliability") >= 0.8, "high").when(F.col("source_reliability") >= 0.5, "medium").when(F.col("source_reliability").isNotNull(), "low")
+    stored = table(spark, root, "stock_event_store").select("row_id", "symbol", "effective_date", "event_type", "sentiment", "source_category", level.alias("reliability"), "source_reliability", "entity_link_confidence")
+    return E.event_returns(stored, normalize_bars(table(spark, root, "daily_bar"), "row_id"), [1, 5, 20])
+
+
+_STORE_RETURNS = """WITH bars AS (SELECT date, lpad(right(symbol, 6), 6, '0') AS symbol, close FROM daily_bar WHERE date IS NOT NULL AND open > 0 AND high > 0 AND low > 0 AND close > 0 AND amount > 0 AND NOT isnan(close)
+  QUALIFY row_number() OVER (PARTITION BY date, symbol ORDER BY row_id DESC) = 1),
+lab AS (SELECT symbol, date, unnest([1, 5, 20]) AS horizon_days, unnest([c1, c5, c20]) / close - 1 AS forward_return FROM (SELECT *, """ + ", ".join(f"lead(close, {h}) OVER (PARTITION BY symbol ORDER BY date) AS c{h}" for h in (1, 5, 20)) + """ FROM bars)),
+labx AS (SELECT *, forward_return - avg(forward_return) OVER (PARTITION BY date, horizon_days) AS excess_return FROM lab),
+ev AS (SELECT *, CASE WHEN source_reliability >= 0.8 THEN 'high' WHEN source_reliability >= 0.5 THEN 'medium' WHEN source_reliability IS NOT NULL THEN 'low' END AS reliability FROM stock_event_store WHERE effective_date IS NOT NULL),
+placed AS (SELECT e.*, b.date AS trade_date FROM ev e ASOF JOIN bars b ON e.symbol = b.symbol AND e.effective_date <= b.date),
+ret AS (SELECT p.*, l.horizon_days, l.forward_return, l.excess_return FROM placed p JOIN labx l ON l.symbol = p.symbol AND l.date = p.trade_date WHERE l.forward_return IS NOT NULL)"""
+_STATS = "count(*) AS sample_count, avg(forward_return) AS mean_return, quantile_cont(forward_return, 0.5) AS median_return, avg(CASE WHEN forward_return > 0 THEN 1.0 ELSE 0.0 END) AS positive_rate, coalesce(avg(excess_return), 0) AS mean_excess_return, coalesce(stddev_samp(forward_return), 0) AS return_std, CASE WHEN count(*) > 1 AND stddev_samp(forward_return) > 0 THEN avg(forward_return) / (stddev_samp(forward_return) / sqrt(count(*))) ELSE 0 END AS t_stat, avg(coalesce(source_reliability, 0)) AS mean_source_reliability, avg(coalesce(entity_link_confidence, 0)) AS mean_entity_link_confidence"
+
+
+def _shown(level: list[str]) -> str:
+    return " || '|' || ".join(f"coalesce({x}, '(null)')" for x in level)
+
+
+@query(with_final(_STORE_RETURNS, " UNION ALL ".join(f"SELECT '{'_'.join(level)}' AS cohort_level, {_shown(level)} AS cohort_key, horizon_days, {_STATS} FROM ret GROUP BY {', '.join(level)}, horizon_days" for level in _LEVELS), "mean_return median_return positive_rate mean_excess_return return_std t_stat mean_source_reliability mean_entity_link_confidence", 5))
 def event_cohorts(spark: SparkSession, root: str) -> DataFrame:
-    return tidy(E.event_cohorts(outcomes(spark, root), [["event_type"], ["source"], ["event_type", "source"]]), 5)
+    """Five groupings of the stored events, nulls in them included."""
+    return tidy(E.event_cohorts(store_outcomes(spark, root), _LEVELS, ["source_reliability", "entity_link_confidence"]), 5)
+
+
+@query(with_final(_STORE_RETURNS, "SELECT horizon_days, count(DISTINCT row_id) AS events, count(DISTINCT symbol) AS symbols, avg(forward_return) AS mean_return, avg(excess_return) AS mean_excess_return, avg(CASE WHEN forward_return > 0 THEN 1.0 ELSE 0.0 END) AS positive_rate, min(effective_date) AS first_day, max(effective_date) AS last_day FROM ret GROUP BY 1", "mean_return mean_excess_return positive_rate"), dates="first_day last_day")
+def event_study_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Per horizon: events and symbols with a return, mean returns and share of gains, and the span of days."""
+    return tidy(E.study_summary(store_outcomes(spark, root), "row_id"))
 
 
 @query(with_final(_RETURNS + """,
@@ -95,12 +128,26 @@ def latest_event_within_30d(spark: SparkSession, root: str) -> DataFrame:
     return tidy(E.latest_within(bars(spark, root).select("symbol", "date"), daily, 30, ["event_type"]))
 
 
-@query(with_final(
-    _TARGETS + f""", {NEWS_SQL}, nf AS (SELECT symbol, effective_date AS date, count(*) AS event_count_20d, avg(impact_score) AS event_impact_score FROM news GROUP BY 1, 2)""",
-    "SELECT t.date, sum(weight) AS total_weight, coalesce(sum(weight) FILTER (WHERE event_count_20d > 0), 0) AS exposed_weight, count(*) FILTER (WHERE event_count_20d > 0) AS exposed_symbols, sum(weight * coalesce(event_impact_score, 0)) AS weighted_impact FROM tg t LEFT JOIN nf ON nf.date = t.date AND nf.symbol = t.symbol GROUP BY 1", "total_weight exposed_weight weighted_impact"), dates="date")
+_HELD = _TARGETS + f""", {NEWS_SQL}, nf AS (SELECT symbol, effective_date AS date, count(*) AS n, count(*) FILTER (WHERE impact_score > 0) AS pos, count(*) FILTER (WHERE impact_score < 0) AS neg, count(*) FILTER (WHERE event_type = 'regulatory_inquiry') AS risk, avg(impact_score) AS i FROM news GROUP BY 1, 2),
+hv AS (SELECT t.date, t.symbol, t.weight, coalesce(n, 0) AS n, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, coalesce(risk, 0) AS risk, coalesce(i, 0) AS i FROM tg t LEFT JOIN nf ON nf.date = t.date AND nf.symbol = t.symbol)"""
+
+
+def news_factors(spark: SparkSession, root: str) -> DataFrame:
+    x = F.col("impact_score")
+    return news(spark, root).groupBy("symbol", F.col("effective_date").alias("date")).agg(
+        F.count(F.lit(1)).alias("event_count_20d"), F.count_if(x > 0).alias("positive_event_count"), F.count_if(x < 0).alias("negative_event_count"), F.count_if(F.col("event_type") == "regulatory_inquiry").alias("event_risk_count"),
+        F.avg(x).alias("event_impact_score"), F.lit(None).cast("double").alias("event_weighted_impact_score"), F.avg("confidence").alias("event_confidence_mean"),
+    )
+
+
+@query(with_final(_HELD, "SELECT date, count(DISTINCT symbol) AS holding_count, sum(weight) AS gross_weight, sum(CASE WHEN n > 0 THEN weight ELSE 0 END) AS event_exposed_weight, sum(CASE WHEN risk > 0 THEN weight ELSE 0 END) AS risk_event_weight, sum(weight * i) AS weighted_event_impact, sum(weight * pos) AS weighted_positive_events, sum(weight * neg) AS weighted_negative_events, sum(weight * risk) AS weighted_risk_events FROM hv GROUP BY 1", "gross_weight event_exposed_weight risk_event_weight weighted_event_impact weighted_positive_events weighted_negative_events weighted_risk_events"), dates="date")
 def event_attribution(spark: SparkSession, root: str) -> DataFrame:
-    factors = news(spark, root).groupBy("symbol", F.col("effective_date").alias("date")).agg(F.count(F.lit(1)).alias("event_count_20d"), F.avg("impact_score").alias("event_impact_score"))
-    return tidy(E.exposure(targets(spark, root), factors))
+    return tidy(E.exposure(targets(spark, root), news_factors(spark, root)))
+
+
+@query(with_final(_HELD, "SELECT symbol, count(DISTINCT date) AS days_held, avg(weight) AS avg_weight, max(weight) AS max_weight, count(*) FILTER (WHERE n > 0) AS event_exposed_days, count(*) FILTER (WHERE risk > 0) AS risk_event_days, avg(i) AS avg_event_impact, sum(weight * i) AS weighted_event_impact, sum(weight * risk) AS weighted_risk_events FROM hv GROUP BY 1", "avg_weight max_weight avg_event_impact weighted_event_impact weighted_risk_events"))
+def event_attribution_symbol(spark: SparkSession, root: str) -> DataFrame:
+    return tidy(E.exposure_by_symbol(targets(spark, root), news_factors(spark, root)))
 
 
 @query(with_final(f"WITH {BARS_SQL}, m AS (SELECT symbol, date, close / {lag('close')} - 1 AS r1, close / {lag('close', 5)} - 1 AS r5 FROM bars)", "SELECT symbol, date, r1, r5, greatest(-0.85, least(0.85, 8 * CASE WHEN abs(r1) >= coalesce(abs(r5), 0) THEN r1 ELSE r5 END)) AS impact FROM m WHERE abs(r1) >= 0.0555 OR abs(r5) >= 0.0999", "r1 r5 impact"), dates="date")
@@ -108,21 +155,6 @@ def price_shocks(spark: SparkSession, root: str) -> DataFrame:
     return tidy(E.price_shocks(bars(spark, root), 0.0555))
 
 
-@query(rounded("""
-WITH t AS (SELECT row_id, symbol, published_at, title, lag(title) OVER (PARTITION BY symbol ORDER BY published_at, row_id) AS prev, lag(row_id) OVER (PARTITION BY symbol ORDER BY published_at, row_id) AS prev_id FROM stock_event_store WHERE published_at IS NOT NULL AND title IS NOT NULL AND symbol IS NOT NULL),
-c AS (SELECT row_id, prev_id, lower(regexp_replace(title, '\\s+', '', 'g')) AS a, lower(regexp_replace(prev, '\\s+', '', 'g')) AS b FROM t WHERE prev_id IS NOT NULL),
-g AS (SELECT row_id, prev_id, list_distinct(list_transform(generate_series(1, greatest(1, len(a) - 2)), lambda i: substring(a, i, 3))) AS x, list_distinct(list_transform(generate_series(1, greatest(1, len(b) - 2)), lambda i: substring(b, i, 3))) AS y FROM c)
-SELECT row_id, prev_id, coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 0) AS similarity FROM g""", "similarity"))
-def title_similarity(spark: SparkSession, root: str) -> DataFrame:
-    """Character 3-gram Jaccard similarity of each title with just the one before it on the same symbol; similar_events searches all earlier events."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("symbol").orderBy("published_at", "row_id")
-    known = table(spark, root, "stock_event_store").where("published_at IS NOT NULL AND title IS NOT NULL AND symbol IS NOT NULL")
-    pairs = known.select("row_id", F.lag("row_id").over(order).alias("prev_id"), "title", F.lag("title").over(order).alias("prev")).where("prev_id IS NOT NULL")
-    return tidy(pairs.select("row_id", "prev_id", E.jaccard(E.ngrams(F.col("title"), 3), E.ngrams(F.col("prev"), 3)).alias("similarity")))
-
-
 @query()
 def similar_events(spark: SparkSession, root: str) -> DataFrame:
     """The five most similar earlier events, of all symbols, of the five latest events of each symbol."""

@@ -50,9 +50,19 @@ STREAM_HOURLY = "SELECT event_type, strftime(time_bucket(INTERVAL 6 HOURS, ts, T
 
 
 def stream_first_deliveries(spark: SparkSession, root: str) -> DataFrame:
-    """Each user's and type's first delivery while a repeat may still arrive."""
+    """The keys of all deliveries within the time a repeat may still arrive, here the span of the table, each once."""
     return S.drained(S.first_deliveries(_stream(spark, root).select("ts", "user_id", "event_type"), time="ts", key=["user_id", "event_type"], late="3650 days"))
 
 
-QUERIES = {f.__name__: f for f in (text_columns, stream_hourly_counts, stream_first_deliveries)}
-SQL = {"text_columns": TEXT_COLUMNS, "stream_hourly_counts": STREAM_HOURLY}
+def stream_errors_after_signup(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of a signup and an error of the same user within a day after it, from two streams."""
+    stream = _stream(spark, root)
+    pairs = S.drained(S.matched_within(stream.where("event_type = 'signup'"), stream.where("event_type = 'error'"), key="user_id", time="ts", span="1 DAY", late="3650 days"))
+    shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x)
+    return pairs.select("user_id", shown("left_time"), shown("right_time"))
+
+
+STREAM_FIRST = "SELECT DISTINCT user_id, event_type FROM events"
+STREAM_PAIRS = "SELECT a.user_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS left_time, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS right_time FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'error' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 DAY"
+QUERIES = {f.__name__: f for f in (text_columns, stream_hourly_counts, stream_first_deliveries, stream_errors_after_signup)}
+SQL = {"text_columns": TEXT_COLUMNS, "stream_hourly_counts": STREAM_HOURLY, "stream_first_deliveries": STREAM_FIRST, "stream_errors_after_signup": STREAM_PAIRS}

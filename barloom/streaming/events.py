@@ -21,8 +21,22 @@ def windowed_counts(events: DataFrame, *, time: str, key: str, size: str, slide:
 
 
 def first_deliveries(events: DataFrame, *, time: str, key: list[str], late: str = "1 day") -> DataFrame:
-    """The first delivery of each key; state is kept only as long as repeats may arrive."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+    """Each key once, when it is first delivered; state is kept only as long as repeats may arrive.
+
+    Only the key comes out: which delivery is met first depends on the order of files and partitions.
+    """
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key).select(*key)
+
+
+def matched_within(left: DataFrame, right: DataFrame, *, key: str, time: str, span: str, late: str = "1 day") -> DataFrame:
+    """(key, left_time, right_time): pairs of two streams on a key, the right one at most span after the left one.
+
+    Both watermarks and the interval bound the state on either side.
+    """
+    a = left.select(F.col(key).alias("key_"), F.col(time).alias("left_time")).withWatermark("left_time", late)
+    b = right.select(F.col(key).alias("other_"), F.col(time).alias("right_time")).withWatermark("right_time", late)
+    near = F.expr(f"key_ = other_ AND right_time >= left_time AND right_time <= left_time + INTERVAL {span}")
+    return a.join(b, near).select(F.col("key_").alias(key), "left_time", "right_time")
 
 
 def session_counts(events: DataFrame, *, time: str, key: str, gap: str, late: str = "1 day") -> DataFrame:

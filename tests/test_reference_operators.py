@@ -137,6 +137,19 @@ def test_prior_outcomes_are_strictly_earlier(spark):
     assert got == {1: (0, 0.0), 2: (0, 0.0), 3: (1, 0.1), 4: (2, -0.05)}
 
 
+def test_null_cohorts_stay_apart_and_medians_are_pooled(spark):
+    rows = [("x", None, 0.1), (None, "x", 0.2), (None, "x", 0.4), ("x", "(null)", 0.3), (None, None, -0.1)]
+    df = spark.createDataFrame([(*r, 0.0, 5, 0.5) for r in rows], "a string, b string, forward_return double, excess_return double, horizon_days int, m double")
+    got = sorted((r.cohort_level, r.sample_count, round(r.median_return, 9)) for r in events.event_cohorts(df, [["a"], ["a", "b"]], ["m"]).collect())
+    assert got == [("a", 2, 0.2), ("a", 3, 0.2), ("a_b", 1, -0.1), ("a_b", 1, 0.1), ("a_b", 1, 0.3), ("a_b", 2, 0.3)]
+    assert events.event_cohorts(df.limit(0), [["a"]]).count() == 0
+
+
+def test_last_delivery_stays_and_nulls_are_alike(spark):
+    df = spark.createDataFrame([(1, "h", "s"), (2, "h", "s"), (3, None, "s"), (4, None, "s"), (5, "h", None)], "row_id long, h string, s string")
+    assert sorted(r.row_id for r in events.last_deliveries(df, ["h", "s"], "row_id").collect()) == [2, 4, 5]
+
+
 def test_quality_on_dirty_rows(spark):
     rows = [("2023-01-02", "1", "10", "11", "9", "10", "5", "50", "1", 1), ("2023-01-02", "1", "10", "11", "9", "10.5", "5", "50", "1", 2), ("2023-01-03", "000001", "-1", "11", "9", "10", "5", "50", "1", 3), ("2023-01-04", "x1", "bad", "1", "1", "1", "1", "1", "1", 4)]
     raw = spark.createDataFrame(rows, "date string, symbol string, open string, high string, low string, close string, volume string, amount string, turnover string, seq int")
@@ -215,7 +228,7 @@ def test_every_factor_is_analysed(spark, bars):
     whole = {**{n: research.QUERIES[f"{n}_all"] for n in names}, "factor_contributors": plans_evaluation.QUERIES["factor_contributors_all"]}
     assert all(f.keywords["factors"] == FACTORS for f in whole.values())
 
-    panel = factor_panel(bars, FACTORS, ("date", "symbol", "close")).withColumn("label", analysis.future(5)).localCheckpoint()
+    panel = factor_panel(bars, FACTORS, ("date", "symbol", "close")).withColumn("label", analysis.future(5)).persist()
     wide = panel.toPandas()
     values = wide[FACTORS].astype(float)
     want = values.corr(min_periods=2).abs().to_numpy(copy=True)
