@@ -60,8 +60,9 @@ def ratio(a: Column, b: Column) -> Column:
 def rank_average(value: Column, *groups: str) -> Column:
     """Rank from 1 with ties averaged; null for null values. Nulls must sort last, as they do here."""
     order = Window.partitionBy(*groups).orderBy(value.asc_nulls_last())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, value))
-    return F.when(value.isNotNull(), F.rank().over(order) + (ties - 1) / 2.0)
+    # Rows up to and including the ties: with the rank, the first and last place of the ties, from one sort.
+    last = F.count(value).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(value.isNotNull(), (F.rank().over(order) + last) / 2.0)
 
 
 def rank_share(value: Column, *groups: str) -> Column:

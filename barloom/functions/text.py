@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
+import json
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def squeezed(text: Column) -> Column:
@@ -85,3 +87,67 @@ def decoded(raw: pd.Series) -> pd.Series:
         return bytes(b).decode("utf-8", "replace")
 
     return raw.map(one)
+
+
+#: The names under which an item's parts are looked for, the first known one wins.
+ITEM_NAMES = {
+    "title": ("title", "name", "bt", "docTitle"),
+    "url": ("url", "href", "link", "docpuburl"),
+    "date": ("date", "time", "publishTime", "pubDate", "docreltime"),
+    "summary": ("summary", "content", "memo"),
+}
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(name, StringType()) for name in ITEM_NAMES])))
+def items_in(text: pd.Series, base: pd.Series) -> pd.Series:
+    """The titled objects of a JSON document at any depth, outer ones first, their URLs made absolute by base; none where it is no JSON.
+
+    The walk keeps its own stack, so any depth the parser reads is walked.
+    """
+
+    def one(body: str | None, start: str | None) -> list[dict]:
+        try:
+            stack = [json.loads(body)] if body is not None else []
+        except (ValueError, RecursionError):
+            return []
+        found = []
+        while stack:
+            node = stack.pop()
+            if isinstance(node, list):
+                stack.extend(reversed(node))
+            elif isinstance(node, dict):
+                part = {k: next((node[n] for n in names if node.get(n)), None) for k, names in ITEM_NAMES.items()}
+                if part["title"]:
+                    joined = urljoin(start or "", str(part["url"] or start or ""))
+                    found.append({"title": str(part["title"]), "url": joined, "date": str(part["date"] or ""), "summary": str(part["summary"] or "")})
+                stack.extend(reversed(list(node.values())))
+        return found
+
+    return pd.Series([one(b, s) for b, s in zip(text, base, strict=True)])
+
+
+@F.pandas_udf(StringType())
+def joined_url(base: pd.Series, link: pd.Series) -> pd.Series:
+    """link made absolute by base; null where either is."""
+    return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def page_urls(seed: pd.Series, pages: pd.Series) -> pd.Series:
+    """A list page and its further pages: name_1.ext beside name.ext, or index_1.html in a folder; queries fall away."""
+
+    def one(url: str | None, n: int) -> list[str] | None:
+        if url is None:
+            return None
+        parts, out = urlsplit(url), [url]
+        head, _, tail = parts.path.rpartition("/")
+        for k in range(1, max(1, int(n or 1))):
+            if "." in tail:
+                stem, _, ending = tail.rpartition(".")
+                path = f"{head}/{stem}_{k}.{ending}" if head or parts.path.startswith("/") else f"{stem}_{k}.{ending}"
+            else:
+                path = f"{parts.path.rstrip('/')}/index_{k}.html"
+            out.append(urlunsplit(parts._replace(path=path, query="")))
+        return list(dict.fromkeys(out))
+
+    return pd.Series([one(u, n) for u, n in zip(seed, pages, strict=True)])

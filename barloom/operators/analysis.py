@@ -167,12 +167,12 @@ def factor_correlations(panel: DataFrame, factors: Sequence[str]) -> DataFrame:
     return found.withColumn("vif_proxy", 1.0 / F.greatest(F.lit(0.05), 1 - capped * capped))
 
 
-def factor_scores(panel: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(date, symbol, score, close, amount): weighted sum of daily rank shares, a missing rank counting 0."""
+def factor_scores(panel: DataFrame, weights: dict[str, float], keep: Sequence[str] = ()) -> DataFrame:
+    """(date, symbol, score, close, amount, *keep): weighted sum of daily rank shares, a missing rank counting 0."""
     total = F.lit(0.0)
     for name, weight in weights.items():
         total = total + F.coalesce(rank_share(F.col(name), "date"), F.lit(0.0)) * weight
-    return panel.select("date", "symbol", total.alias("score"), "close", "amount")
+    return panel.select("date", "symbol", total.alias("score"), "close", "amount", *keep)
 
 
 def rebalance_dates(dates: DataFrame, rule: str = "week") -> DataFrame:

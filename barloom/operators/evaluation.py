@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import pearson, rank_share
-from barloom.operators.ranking import pooled_ranks
+from barloom.operators.ranking import pooled_quantiles, pooled_ranks
 from barloom.session import cut_lineage
 
 
@@ -83,30 +83,156 @@ def calibration_error(predictions: DataFrame, groups: Sequence[str], bins: int =
     return reliability(predictions, groups, bins).groupBy(*groups).agg((F.sum(gap) / F.sum("rows")).alias("ece"))
 
 
-def calibrated(predictions: DataFrame, split: float = 0.7) -> DataFrame:
-    """(method, brier, ece, rows) on the later dates, of raw probabilities and of Platt and isotonic fits on the earlier ones."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    numbered = numbered_dates(predictions)
-    last = numbered.agg(F.max("i")).scalar()
-    rows = predictions.join(F.broadcast(numbered.select("date", (F.col("i") < split * last).alias("early"))), "date")
-    rows = cut_lineage(rows.select("early", "prob_up", "direction"))
-    rows = VectorAssembler(inputCols=["prob_up"], outputCol="x").transform(rows.withColumn("direction", F.col("direction").cast("double")))
-    early, late = rows.where("early"), rows.where("NOT early")
-    platt = LogisticRegression(featuresCol="x", labelCol="direction", probabilityCol="p", predictionCol="c", rawPredictionCol="z").fit(early)
-    isotonic = IsotonicRegression(featuresCol="x", labelCol="direction", predictionCol="p").fit(early)
-    from pyspark.ml.functions import vector_to_array
-
-    outs = [
-        late.select(F.lit("identity").alias("method"), "prob_up", "direction"),
-        platt.transform(late).select(F.lit("platt").alias("method"), vector_to_array("p")[1].alias("prob_up"), "direction"),
-        isotonic.transform(late).select(F.lit("isotonic").alias("method"), F.col("p").alias("prob_up"), "direction"),
-    ]
-    every = outs[0].unionByName(outs[1]).unionByName(outs[2])
-    scores = every.groupBy("method").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.pow(F.col("prob_up") - F.col("direction"), 2)).alias("brier"))
-    return scores.join(calibration_error(every, ["method"]), "method")
+def size_buckets(rows: DataFrame, cap: str | None, liquidity: str | None, amount: str | None) -> DataFrame:
+    """rows with size_bucket and size_source: terciles of market capitalisation where known, else of the liquidity rank share by its value, else of the mean amount.
+
+    Terciles of capitalisation and amount are over all rows that fall to them, ties by value alike; ranks are pooled.
+    """
+    out = rows.withColumns({"size_bucket": F.lit("market_cap_unavailable"), "size_source": F.lit("market_cap_unavailable")})
+
+    def terciles(df: DataFrame, column: str, names: tuple[str, str, str], source: str) -> DataFrame:
+        free = (F.col("size_source") == "market_cap_unavailable") & F.col(column).isNotNull()
+        df = df.withColumn("t_", F.when(free, F.col(column)))
+        ends = pooled_quantiles(df.where("t_ IS NOT NULL").select(F.lit(1).alias("g_"), "t_"), ["g_"], "t_", {"lo_": 1 / 3, "hi_": 2 / 3})
+        lo, hi = ends.select("lo_").scalar(), ends.select("hi_").scalar()
+        name = F.when(F.col("t_") <= lo, names[0]).when(F.col("t_") <= hi, names[1]).otherwise(names[2])
+        return df.withColumns({"size_bucket": F.when(free, name).otherwise(F.col("size_bucket")), "size_source": F.when(free, source).otherwise(F.col("size_source"))}).drop("t_")
+
+    proxies = ("low_liquidity_proxy", "mid_liquidity_proxy", "high_liquidity_proxy")
+    if cap:
+        out = terciles(out, cap, ("small_cap", "mid_cap", "large_cap"), "market_cap")
+    if liquidity:
+        free = (F.col("size_source") == "market_cap_unavailable") & F.col(liquidity).isNotNull()
+        name = F.when(F.col(liquidity) <= 1 / 3, proxies[0]).when(F.col(liquidity) >= 2 / 3, proxies[2]).otherwise(proxies[1])
+        out = out.withColumns({"size_bucket": F.when(free, name).otherwise(F.col("size_bucket")), "size_source": F.when(free, f"{liquidity}_liquidity_proxy").otherwise(F.col("size_source"))})
+    if amount:
+        out = terciles(out, amount, proxies, f"{amount}_liquidity_proxy")
+    return out
+
+
+def known_regimes(rows: DataFrame) -> DataFrame:
+    """rows with market_regime from what was known on the day: thirds of market return and breadth, and the most volatile quarter of rows.
+
+    rows: market_mean_return, market_breadth, volatility_20. Quantiles are over all rows, by pooled ranks.
+    """
+    cuts = {}
+    for column, shares in (("market_mean_return", {"lo": 0.33, "hi": 0.67}), ("market_breadth", {"lo": 0.33, "hi": 0.67}), ("volatility_20", {"hi": 0.75})):
+        cuts[column] = pooled_quantiles(rows.select(F.lit(1).alias("g_"), column), ["g_"], column, shares)
+    cut = lambda column, name: cuts[column].select(name).scalar()
+    r, b = F.col("market_mean_return"), F.col("market_breadth")
+    regime = (
+        F.when(r.isNull() | b.isNull(), "regime_unavailable")
+        .when(F.col("volatility_20") >= cut("volatility_20", "hi"), "high_volatility_pit")
+        .when((r <= cut("market_mean_return", "lo")) & (b <= cut("market_breadth", "lo")), "bearish_pit")
+        .when((r >= cut("market_mean_return", "hi")) & (b >= cut("market_breadth", "hi")), "bullish_pit")
+        .otherwise("sideways_pit")
+    )
+    return rows.withColumn("market_regime", regime)
+
+
+def slice_metrics(predictions: DataFrame, slices: Sequence[str], bins: int = 5) -> DataFrame:
+    """prediction_metrics by (slice_type, slice) for several columns in one pass; a null is the slice '(null)'."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("slice_type"), F.coalesce(F.col(x).cast("string"), F.lit("(null)")).alias("slice")) for x in slices])).alias("s")
+    rows = predictions.select("prob_up", "direction", "label", pairs).select("s.slice_type", "s.slice", "prob_up", "direction", "label")
+    return prediction_metrics(rows, ["slice_type", "slice"], bins)
+
+
+class Calibrator:
+    """A fit of direction on prob_up: 'identity', 'platt' (a logistic line) or 'isotonic' (pooled adjacent violators)."""
+
+    METHODS = ("identity", "platt", "isotonic")
+
+    def __init__(self, method: str):
+        self.method, self.knots = method, None
+
+    def fit(self, p: np.ndarray, y: np.ndarray, n: np.ndarray) -> Calibrator:
+        """p: distinct probabilities in order, with the sum of directions y and rows n of each."""
+        if self.method == "platt":
+            a, b = 1.0, 0.0
+            for _ in range(50):
+                q = 1 / (1 + np.exp(-np.clip(a * p + b, -30, 30)))
+                w = n * q * (1 - q)
+                g = np.array([((y - n * q) * p).sum() - a, (y - n * q).sum()])
+                h = np.array([[(w * p * p).sum() + 1.0, (w * p).sum()], [(w * p).sum(), w.sum() + 1e-12]])
+                step = np.linalg.solve(h, g)
+                a, b = a + step[0], b + step[1]
+                if np.abs(step).max() < 1e-10:
+                    break
+            self.knots = (a, b)
+        elif self.method == "isotonic":
+            blocks: list[list[float]] = []
+            for x, s, m in zip(p, y, n, strict=True):
+                blocks.append([s, m, x, x])
+                while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+                    s2, m2, _, hi = blocks.pop()
+                    blocks[-1][0] += s2
+                    blocks[-1][1] += m2
+                    blocks[-1][3] = hi
+            xs = [e for b in blocks for e in (b[2], b[3])]
+            ys = [b[0] / b[1] for b in blocks for _ in (0, 1)]
+            self.knots = (np.array(xs), np.array(ys))
+        return self
+
+    def __call__(self, p: np.ndarray) -> np.ndarray:
+        if self.method == "platt":
+            return 1 / (1 + np.exp(-np.clip(self.knots[0] * p + self.knots[1], -30, 30)))
+        return np.interp(p, *self.knots) if self.method == "isotonic" else p
+
+
+def _calibration_scores(q: np.ndarray, y: np.ndarray, n: np.ndarray, bins: int) -> tuple[float, float]:
+    brier = float((y * (1 - q) ** 2 + (n - y) * q**2).sum() / n.sum())
+    at = np.minimum((q * bins).astype(int), bins - 1)
+    rows, mean, seen = (np.bincount(at, weights=x, minlength=bins) for x in (n, n * q, y))
+    return brier, float(np.abs(mean - seen).sum() / n.sum())
+
+
+def fold_calibrations(predictions: DataFrame, groups: Sequence[str], *, least_train: int = 80, least_eval: int = 40, share: float = 0.7, bins: int = 5, digits: int = 4) -> DataFrame:
+    """(groups, method, status, rows, raw and calibrated Brier score and error, candidates, curve): the calibration chosen per group.
+
+    predictions: groups, date, prob_up, direction. The first share of a group's rows by date fits identity, Platt and
+    isotonic curves, the rest judges them; the best by Brier score, error and name is fitted again on all rows. curve
+    holds it at 0, 1/200, ... 1. Probabilities are rounded to digits and summed per group, date half and value before the
+    fit, so a group's task sees at most 2 * 10^digits + 2 rows, however many predictions it has. Groups with too few rows
+    or a single direction keep the identity, with a status that says so. The split lies between two dates.
+    """
+    groups = list(groups)
+    known = predictions.where("prob_up IS NOT NULL AND direction IS NOT NULL").select(*groups, "date", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prob_up")), digits).alias("p"), "direction")
+    daily = known.groupBy(*groups, "date").agg(F.count(F.lit(1)).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy(*groups).orderBy("date"))
+    halves = daily.select(*groups, "date", (so_far <= F.greatest(F.lit(least_train), F.floor(F.sum("n").over(Window.partitionBy(*groups)) * share))).alias("early"))
+    values = known.join(halves, [*groups, "date"]).groupBy(*groups, "early", "p").agg(F.sum("direction").alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
+    grid = np.linspace(0, 1, 201)
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        tables = []
+        for rows in (part[part.early], part[~part.early], part):
+            g = rows.groupby("p", as_index=False)[["y", "n"]].sum().sort_values("p")
+            tables.append(tuple(g[c].to_numpy(dtype=float) for c in ("p", "y", "n")))
+        early, late, every = tables
+        n, up = every[2].sum(), every[1].sum()
+        raw = _calibration_scores(every[0], every[1], every[2], bins)
+        status, method, best, names, chosen = "calibration_sparse", "identity_insufficient", raw, "", Calibrator("identity")
+        if n >= least_train + least_eval and 0 < up < n:
+            method = "identity_single_class"
+            if 0 < early[1].sum() < early[2].sum() and late[2].sum() > 0:
+                tried = sorted((*(round(v, 12) for v in _calibration_scores(Calibrator(m).fit(*early)(late[0]), late[1], late[2], bins)), m) for m in Calibrator.METHODS)
+                raw = _calibration_scores(late[0], late[1], late[2], bins)
+                status, best, method, names = "calibrated", tried[0][:2], tried[0][2], ";".join(m for *_, m in tried)
+                chosen = Calibrator(method).fit(*every)
+        out = {g: [part[g].iloc[0]] for g in groups}
+        return pd.DataFrame({**out, "method": [method], "status": [status], "rows": [int(n)], "raw_brier": [raw[0]], "raw_ece": [raw[1]], "calibrated_brier": [best[0]], "calibrated_ece": [best[1]], "candidates": [names], "curve": [np.clip(chosen(grid), 0, 1).tolist()]})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.select(*groups).schema)
+    return values.groupBy(*groups).applyInPandas(choose, f"{kinds}, method string, status string, rows long, raw_brier double, raw_ece double, calibrated_brier double, calibrated_ece double, candidates string, curve array<double>")
+
+
+def calibrated(predictions: DataFrame, fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """predictions with raw_prob_up, and prob_up read off the calibration curve of its keys, interpolated; unchanged where there is none. fits: keys and curve, a row per key."""
+    joined = predictions.join(F.broadcast(fits.select(*keys, "curve")), list(keys), "left")  # a row per fold
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prob_up"))) * 200
+    at = F.least(F.floor(p), F.lit(199)).cast("int")
+    low, high = F.get("curve", at), F.get("curve", at + 1)
+    return joined.withColumns({"raw_prob_up": F.col("prob_up"), "prob_up": F.coalesce(low + (p - at) * (high - low), "prob_up")}).drop("curve")
 
 
 def ridge_forecast(rows: DataFrame, features: Sequence[str], label: str, train: str) -> DataFrame:

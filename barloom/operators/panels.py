@@ -39,8 +39,9 @@ def expanding_line(rows: DataFrame, least: int = 80) -> DataFrame:
 
     rows: date, x, y. Rows are summed per date; only the daily sums are accumulated, so one task sees one row per date.
     """
-    known = rows.where("x IS NOT NULL AND y IS NOT NULL")
-    daily = known.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    known = rows.select("date", F.when(both, F.col("x")).alias("x"), F.when(both, F.col("y")).alias("y"))
+    daily = known.groupBy("date").agg(F.count("x").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
     before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     sums = daily.select("date", *[F.sum(c).over(before).alias(c) for c in ("n", "x", "y", "xy", "xx")])
     spread = F.col("xx") - F.col("x") * F.col("x") / F.col("n")
@@ -49,6 +50,17 @@ def expanding_line(rows: DataFrame, least: int = 80) -> DataFrame:
     return fitted.select("date", F.col("n").alias("known_rows"), ((F.col("y") - F.col("beta") * F.col("x")) / F.col("n")).alias("alpha"), "beta")
 
 
+def line_probabilities(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows (date, x, y) with prob_up: the line of earlier dates at x, from 0.05 to 0.95; without a line the mean of earlier y, without any 0.5."""
+    daily = rows.groupBy("date").agg(F.count("y").alias("n"), F.sum("y").alias("s"))
+    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # one row per date
+    means = daily.select("date", F.try_divide(F.sum("s").over(before), F.sum("n").over(before)).alias("m_"))
+    value = F.col("alpha") + F.col("beta") * F.col("x")
+    line = F.when(value.isNotNull(), F.greatest(F.lit(0.05), F.least(F.lit(0.95), value)))
+    joined = rows.join(means, "date").join(lines.select("date", "alpha", "beta"), "date", "left")
+    return joined.withColumn("prob_up", F.coalesce(line, "m_", F.lit(0.5))).drop("alpha", "beta", "m_")
+
+
 def mentioned_symbols(texts: DataFrame, row_id: str, text: str, symbols: DataFrame) -> DataFrame:
     """(row_id, symbol): known symbols whose six-digit code stands in the text, each once. Codes are joined by value, not searched symbol by symbol."""
     found = texts.select(F.col(row_id), F.explode(codes_in(F.col(text))).alias("symbol"))

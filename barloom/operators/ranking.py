@@ -36,11 +36,20 @@ def pooled_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str, tie
     return df.join(ranked, [*groups, value], "left")
 
 
-def pooled_medians(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
-    """(groups, out): the median of value per group, however large the group. Groups may not be null."""
+def pooled_quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(groups, <name>): interpolated quantiles of value per group, however large the group. Groups may not be null."""
     groups = list(groups)
     placed = _placed_values(df, groups, value)
     totals = placed.groupBy(*groups).agg(F.sum("n_").alias("all_"))
     covers = lambda place: F.max(F.when((F.col("less_") < place) & (place <= F.col("less_") + F.col("n_")), F.col(value)))
-    low, high = F.floor((F.col("all_") + 1) / 2), F.ceil((F.col("all_") + 1) / 2)
-    return placed.join(totals, groups).groupBy(*groups).agg(((covers(low) + covers(high)) / 2.0).alias(out))
+    out = []
+    for name, q in shares.items():
+        at = F.round((F.col("all_") - 1) * q, 9)
+        low, part = F.floor(at), at - F.floor(at)
+        out.append((covers(low + 1) + F.max(part) * (covers(F.least(low + 2, F.col("all_"))) - covers(low + 1))).alias(name))
+    return placed.join(totals, groups).groupBy(*groups).agg(*out)
+
+
+def pooled_medians(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
+    """(groups, out): the median of value per group, however large the group. Groups may not be null."""
+    return pooled_quantiles(df, groups, value, {out: 0.5})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.operators import analysis as A
 from barloom.operators import evaluation as V
 from barloom.operators import portfolio as P
+from barloom.functions.rolling import rank_share
 from barloom.operators.factors import FACTORS
 from barloom.plans.research import _SCORE, CHOSEN, WEIGHTS, panel, sql_corr, sql_rank, targets, tidy, with_final
 from barloom.session import cut_lineage
@@ -35,9 +36,8 @@ def query(sql: str | None = None, dates: str = ""):
 
 def scored(spark: SparkSession, root: str) -> DataFrame:
     """(date, symbol, score, label, direction)."""
-    p = panel(spark, root)
-    s = A.factor_scores(p, WEIGHTS).select("date", "symbol", F.round("score", 9).alias("score"))
-    return s.join(p.select("date", "symbol", "label"), ["date", "symbol"]).withColumn("direction", F.when(F.col("label").isNotNull(), (F.col("label") > 0).cast("double")))
+    s = A.factor_scores(panel(spark, root), WEIGHTS, ("label",)).select("date", "symbol", F.round("score", 9).alias("score"), "label")
+    return s.withColumn("direction", F.when(F.col("label").isNotNull(), (F.col("label") > 0).cast("double")))
 
 
 def predictions(spark: SparkSession, root: str) -> DataFrame:
@@ -97,10 +97,57 @@ def calibration_bins(spark: SparkSession, root: str) -> DataFrame:
     return tidy(V.reliability(predictions(spark, root).withColumn("prob_up", F.round("prob_up", 9)), ["fold"]))
 
 
+def sliced(spark: SparkSession, root: str) -> DataFrame:
+    """Predictions with the year, size bucket, group and regime they fall into."""
+    needs = ["amount_mean_20", "market_mean_return", "market_breadth", "volatility_20"]
+    traits = panel(spark, root, needs).select("date", "symbol", *[F.round(x, 9 if x != "amount_mean_20" else 5).alias(x) for x in needs], rank_share(F.round("amount_mean_20", 5), "date").alias("cs_amount_rank_20"))
+    rows = cut_lineage(predictions(spark, root).join(traits, ["date", "symbol"]).withColumn("prob_up", F.round("prob_up", 9)))
+    marked = V.known_regimes(V.size_buckets(rows, None, "cs_amount_rank_20", "amount_mean_20"))
+    return marked.withColumns({"year": F.year("date").cast("string"), "theme": F.when(F.col("symbol").cast("int") % 5 < 4, F.concat(F.lit("g"), (F.col("symbol").cast("int") % 5).cast("string")))})
+
+
+SLICES = ["year", "theme", "size_bucket", "market_regime"]
+_SLICED = _PREDICTIONS + f""", mk0 AS (SELECT date, symbol, r, close FROM p0), mk AS (SELECT date, round(avg(r), 9) AS mm, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 9) AS mb FROM mk0 GROUP BY 1),
+tr0 AS (SELECT date, symbol, round(amount_mean_20, 5) AS am, round(volatility_20, 9) AS v20 FROM panel),
+tr1 AS (SELECT *, CASE WHEN am IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY am NULLS LAST) + (count(*) OVER (PARTITION BY date, am) - 1) / 2.0) / count(am) OVER (PARTITION BY date) END AS car FROM tr0),
+mp0 AS (SELECT p.*, round(prob_up, 9) AS p9, mm, mb, v20, car FROM pred p JOIN tr1 ON tr1.date = p.date AND tr1.symbol = p.symbol JOIN mk ON mk.date = p.date),
+qs AS (SELECT quantile_cont(mm, 0.33) AS ml, quantile_cont(mm, 0.67) AS mh, quantile_cont(mb, 0.33) AS bl, quantile_cont(mb, 0.67) AS bh, quantile_cont(v20, 0.75) AS vh FROM mp0),
+mp1 AS (SELECT mp0.*, CAST(year(date) AS VARCHAR) AS year, coalesce(CASE WHEN CAST(symbol AS INT) % 5 < 4 THEN 'g' || (CAST(symbol AS INT) % 5) END, '(null)') AS theme,
+  CASE WHEN car <= 1/3 THEN 'low_liquidity_proxy' WHEN car >= 2/3 THEN 'high_liquidity_proxy' WHEN car IS NOT NULL THEN 'mid_liquidity_proxy' ELSE 'market_cap_unavailable' END AS size_bucket,
+  CASE WHEN mm IS NULL OR mb IS NULL THEN 'regime_unavailable' WHEN v20 >= vh THEN 'high_volatility_pit' WHEN mm <= ml AND mb <= bl THEN 'bearish_pit' WHEN mm >= mh AND mb >= bh THEN 'bullish_pit' ELSE 'sideways_pit' END AS market_regime FROM mp0, qs),
+mp AS ({' UNION ALL '.join(f"SELECT '{x}' AS slice_type, {x} AS slice, p9, direction, label FROM mp1" for x in SLICES)}),
+mr AS (SELECT *, {sql_rank('p9', 'slice_type, slice')} AS pr, {sql_rank('label', 'slice_type, slice')} AS lr FROM mp),
+mq AS (SELECT slice_type, slice, quantile_cont(p9, 0.8) AS q8, quantile_cont(p9, 0.2) AS q2 FROM mp GROUP BY 1, 2),
+mb2 AS (SELECT slice_type, slice, least(floor(p9 * 5), 4) AS b, count(*) AS n, abs(avg(p9) - avg(direction)) AS gap FROM mp GROUP BY 1, 2, 3),
+me AS (SELECT slice_type, slice, sum(n * gap) / sum(n) AS ece FROM mb2 GROUP BY 1, 2)"""
+
+
+@query(with_final(_SLICED, f"""SELECT slice_type, slice, count(*) AS rows, avg(CASE WHEN (p9 >= 0.5) = (direction = 1) THEN 1.0 ELSE 0.0 END) AS direction_accuracy, greatest(avg(direction), 1 - avg(direction)) AS baseline_accuracy,
+coalesce((sum(pr) FILTER (WHERE direction = 1) - sum(direction) * (sum(direction) + 1) / 2) / nullif(sum(direction) * (count(*) - sum(direction)), 0), 0) AS auc, avg((p9 - direction) ** 2) AS brier, coalesce({sql_corr('pr', 'lr')}, 0) AS rank_ic,
+avg(label) FILTER (WHERE p9 >= q8) AS top_bucket_return, avg(label) FILTER (WHERE p9 <= q2) AS bottom_bucket_return, any_value(ece) AS ece
+FROM mr JOIN mq USING (slice_type, slice) JOIN me USING (slice_type, slice) GROUP BY 1, 2""", "direction_accuracy baseline_accuracy auc brier rank_ic top_bucket_return bottom_bucket_return ece", 5))
+def prediction_slices(spark: SparkSession, root: str) -> DataFrame:
+    """Metrics by year, group, size and regime, in one pass."""
+    return tidy(V.slice_metrics(sliced(spark, root), SLICES), 5)
+
+
+def _raw(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    rows = cut_lineage(predictions(spark, root))
+    following = rows.withColumn("fold", F.col("fold") + 1)  # what a fold predicted calibrates the next
+    return rows, V.fold_calibrations(following, ["fold"])
+
+
 @query()
 def calibration_fits(spark: SparkSession, root: str) -> DataFrame:
-    """Raw, Platt and isotonic probabilities on the later dates."""
-    return V.calibrated(predictions(spark, root))
+    """Per fold the calibration chosen on the fold before it, with scores."""
+    return _raw(spark, root)[1].drop("curve")
+
+
+@query()
+def calibrated_predictions(spark: SparkSession, root: str) -> DataFrame:
+    """Predictions with probabilities calibrated on the fold before."""
+    rows, fits = _raw(spark, root)
+    return tidy(V.calibrated(rows, fits, ["fold"]))
 
 
 @query()
