@@ -1,256 +1,214 @@
-"""The factor panel: a registry of named expressions, planned in as few window stages as their dependencies allow.
-
-Asking for some factors plans only what these need. Expressions of one stage share their windows, so Spark sorts each
-symbol once per stage and computes every frame in that pass. Exponential averages, which depend on the whole history,
-come from one grouped Arrow pass per symbol (a symbol's bars are bounded by its trading calendar).
+"""The factor panel: a registry of named definitions, computed by symbol and then across symbols.
+
+Asking for some factors plans only what these need. Definitions by symbol are written once, in the vocabulary of
+functions.frames. Where their trailing frames are short they become window expressions, in as few stages as their
+dependencies allow, so that Spark sorts each symbol once per stage. A window operator visits every row of a frame for
+every bar, though; where frames add up to more than LONG_FRAMES rows, or an exponential average is needed, one grouped
+Arrow pass per symbol computes everything by symbol in time linear in its bars, which its trading calendar bounds.
+Ranks and means across symbols are windows by date in either case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import by_symbol, flag, least_observations, rank_share, ratio, roll_corr, roll_mean, roll_std, roll_sum, rolling, trailing
+from barloom.functions.frames import Arrays, Columns
+from barloom.functions.rolling import flag, least_observations, rank_share
 
 BASE = ("date", "symbol", "open", "high", "low", "close", "volume", "amount", "turnover")
-SMOOTHED = ("ema_5", "ema_10", "ema_12", "ema_20", "ema_26", "ema_60", "ema_120", "macd_raw", "macd_smooth", "kdj_k_9", "kdj_d_9")
+LONG_FRAMES = 100
 
-Expression = Callable[[], Column]
-NODES: dict[str, tuple[tuple[str, ...], Expression]] = {}
+#: Definitions by symbol and across symbols: name -> (names needed, definition).
+NODES: dict[str, tuple[tuple[str, ...], Callable]] = {}
+ACROSS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {}
 FACTORS: list[str] = []
 
-c = F.col
-
 
-def helper(name: str, needs: Iterable[str], make: Expression) -> None:
+def helper(name: str, needs: Iterable[str], make: Callable) -> None:
     NODES[name] = (tuple(needs), make)
 
 
-def factor(name: str, needs: Iterable[str], make: Expression) -> None:
+def factor(name: str, needs: Iterable[str], make: Callable) -> None:
     helper(name, needs, make)
     FACTORS.append(name)
 
 
-def before(name: str, rows: int = 1) -> Column:
-    return F.lag(name, rows).over(by_symbol())
-
-
-def change(name: str, rows: int) -> Column:
-    return ratio(c(name), before(name, rows)) - 1
+def across(name: str, needs: Iterable[str], make: Callable[[], Column]) -> None:
+    ACROSS[name] = (tuple(needs), make)
+    FACTORS.append(name)
 
 
 def _returns() -> None:
-    helper("pc", [], lambda: before("close"))
-    helper("r", [], lambda: change("close", 1))
-    helper("r0", ["r"], lambda: F.coalesce("r", F.lit(0.0)))
-    helper("r_prev", ["r"], lambda: before("r"))
-    helper("r_abs", ["r"], lambda: F.abs("r"))
-    helper("r_down", ["r"], lambda: F.when(c("r") < 0, c("r")).otherwise(0.0))
-    helper("r_up", ["r"], lambda: F.when(c("r") > 0, c("r")).otherwise(0.0))
+    helper("pc", [], lambda o: o.lag("close"))
+    helper("r", [], lambda o: o.change("close", 1))
+    helper("r0", ["r"], lambda o: o.fill("r", 0.0))
+    helper("r_prev", ["r"], lambda o: o.lag("r"))
+    helper("r_abs", ["r"], lambda o: o.abs("r"))
+    helper("r_down", ["r"], lambda o: o.when(o("r") < 0, o("r"), 0.0))
+    helper("r_up", ["r"], lambda o: o.when(o("r") > 0, o("r"), 0.0))
     for w in (1, 2, 3, 5, 10, 20, 40, 60, 120, 240):
-        factor(f"momentum_{w}", [], lambda w=w: change("close", w))
+        factor(f"momentum_{w}", [], lambda o, w=w: o.change("close", w))
     for w in (1, 2, 3, 5, 10, 20):
-        factor(f"reversal_{w}", [f"momentum_{w}"], lambda w=w: -c(f"momentum_{w}"))
+        factor(f"reversal_{w}", [f"momentum_{w}"], lambda o, w=w: -o(f"momentum_{w}"))
     for w in (5, 10, 20, 40, 60, 120, 240):
-        factor(f"volatility_{w}", ["r"], lambda w=w: roll_std(c("r"), w))
+        factor(f"volatility_{w}", ["r"], lambda o, w=w: o.std(o("r"), w))
     for w in (5, 10, 20, 60, 120):
-        factor(f"downside_volatility_{w}", ["r_down"], lambda w=w: roll_std(c("r_down"), w))
+        factor(f"downside_volatility_{w}", ["r_down"], lambda o, w=w: o.std(o("r_down"), w))
     for w in (5, 10, 20, 60):
-        factor(f"upside_volatility_{w}", ["r_up"], lambda w=w: roll_std(c("r_up"), w))
+        factor(f"upside_volatility_{w}", ["r_up"], lambda o, w=w: o.std(o("r_up"), w))
     for w in (20, 60, 120):
-        factor(f"max_drawdown_{w}", [], lambda w=w: _drawdown(w))
-
-
-def _drawdown(w: int) -> Column:
-    closes = F.collect_list("close").over(trailing(w))
-    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("worst"))
-
-    def step(state: Column, x: Column) -> Column:
-        top = F.greatest(state["top"], x)
-        return F.struct(top.alias("top"), F.least(state["worst"], ratio(x, top) - 1).alias("worst"))
-
-    return F.when(F.size(closes) >= least_observations(w), F.aggregate(closes, start, step, lambda s: s["worst"]))
+        factor(f"max_drawdown_{w}", [], lambda o, w=w: o.drawdown("close", w))
 
 
 def _averages() -> None:
     for w in (5, 10, 20, 40, 60, 120, 240):
-        helper(f"ma_{w}", [], lambda w=w: roll_mean(c("close"), w))
-        factor(f"ma_bias_{w}", [f"ma_{w}"], lambda w=w: ratio(c("close"), c(f"ma_{w}")) - 1)
+        helper(f"ma_{w}", [], lambda o, w=w: o.mean(o("close"), w))
+        factor(f"ma_bias_{w}", [f"ma_{w}"], lambda o, w=w: o.ratio(o("close"), o(f"ma_{w}")) - 1)
     for w in (5, 10, 20, 60):
-        factor(f"ma_slope_{w}", [f"ma_{w}"], lambda w=w: change(f"ma_{w}", w))
+        factor(f"ma_slope_{w}", [f"ma_{w}"], lambda o, w=w: o.change(f"ma_{w}", w))
     for w in (5, 10, 12, 20, 26, 60, 120):
-        factor(f"ema_bias_{w}", [f"ema_{w}"], lambda w=w: ratio(c("close"), c(f"ema_{w}")) - 1)
+        helper(f"ema_{w}", [], lambda o, w=w: o.smooth(o("close"), 2 / (w + 1), least_observations(w)))
+        factor(f"ema_bias_{w}", [f"ema_{w}"], lambda o, w=w: o.ratio(o("close"), o(f"ema_{w}")) - 1)
     for w in (12, 26, 60):
-        factor(f"ema_slope_{w}", [f"ema_{w}"], lambda w=w: change(f"ema_{w}", w))
-    factor("macd_diff", ["macd_raw"], lambda: ratio(c("macd_raw"), c("close")))
-    factor("macd_signal", ["macd_smooth"], lambda: ratio(c("macd_smooth"), c("close")))
-    factor("macd_hist", ["macd_raw", "macd_smooth"], lambda: ratio(c("macd_raw") - c("macd_smooth"), c("close")))
+        factor(f"ema_slope_{w}", [f"ema_{w}"], lambda o, w=w: o.change(f"ema_{w}", w))
+    helper("macd_raw", ["ema_12", "ema_26"], lambda o: o("ema_12") - o("ema_26"))
+    helper("macd_smooth", ["macd_raw"], lambda o: o.smooth(o("macd_raw"), 0.2, 6))
+    factor("macd_diff", ["macd_raw"], lambda o: o.ratio(o("macd_raw"), o("close")))
+    factor("macd_signal", ["macd_smooth"], lambda o: o.ratio(o("macd_smooth"), o("close")))
+    factor("macd_hist", ["macd_raw", "macd_smooth"], lambda o: o.ratio(o("macd_raw") - o("macd_smooth"), o("close")))
 
 
 def _oscillators() -> None:
-    helper("gain", ["r"], lambda: F.when(c("r").isNotNull(), F.greatest(c("r"), F.lit(0.0))))
-    helper("loss", ["r"], lambda: F.when(c("r").isNotNull(), F.greatest(-c("r"), F.lit(0.0))))
+    helper("gain", ["r"], lambda o: o.positive(o("r")))
+    helper("loss", ["r"], lambda o: o.positive(-o("r")))
     for w in (6, 14, 24):
-        factor(f"rsi_{w}", ["gain", "loss"], lambda w=w: 100 - ratio(F.lit(100.0), 1 + ratio(roll_mean(c("gain"), w), roll_mean(c("loss"), w))))
-    SMOOTHED_FACTORS = ("kdj_k_9", "kdj_d_9")
-    FACTORS.extend(SMOOTHED_FACTORS)
-    factor("kdj_j_9", SMOOTHED_FACTORS, lambda: 3 * c("kdj_k_9") - 2 * c("kdj_d_9"))
-    helper("tp", [], lambda: (c("high") + c("low") + c("close")) / 3)
+        factor(f"rsi_{w}", ["gain", "loss"], lambda o, w=w: 100 - o.ratio(100.0, 1 + o.ratio(o.mean(o("gain"), w), o.mean(o("loss"), w))))
+    helper("stochastic", ["hh_20", "ll_20"], lambda o: 100 * o.ratio(o("close") - o("ll_20"), o("hh_20") - o("ll_20")))
+    factor("kdj_k_9", ["stochastic"], lambda o: o.smooth(o("stochastic"), 1 / 3, 6))
+    factor("kdj_d_9", ["kdj_k_9"], lambda o: o.smooth(o("kdj_k_9"), 1 / 3, 6))
+    factor("kdj_j_9", ["kdj_k_9", "kdj_d_9"], lambda o: 3 * o("kdj_k_9") - 2 * o("kdj_d_9"))
+    helper("tp", [], lambda o: (o("high") + o("low") + o("close")) / 3)
     for w in (14, 20):
-        helper(f"tp_dev_{w}", ["tp"], lambda w=w: c("tp") - roll_mean(c("tp"), w))
-        factor(f"cci_{w}", [f"tp_dev_{w}"], lambda w=w: ratio(c(f"tp_dev_{w}"), 0.015 * roll_mean(F.abs(f"tp_dev_{w}"), w)))
-        factor(f"williams_r_{w}", [], lambda w=w: ratio(-100 * (_high(w) - c("close")), _high(w) - _low(w)))
-        helper("tp_step", ["tp"], lambda: c("tp") - before("tp"))
-        helper("flow_in", ["tp_step"], lambda: F.when(c("tp_step") > 0, c("tp") * c("volume")).otherwise(0.0))
-        helper("flow_out", ["tp_step"], lambda: F.when(c("tp_step") < 0, c("tp") * c("volume")).otherwise(0.0))
-        factor(f"money_flow_index_{w}", ["flow_in", "flow_out"], lambda w=w: 100 - ratio(F.lit(100.0), 1 + ratio(roll_sum(c("flow_in"), w), roll_sum(c("flow_out"), w))))
-
-
-def _high(w: int) -> Column:
-    return rolling(F.max, c("high"), w)
-
-
-def _low(w: int) -> Column:
-    return rolling(F.min, c("low"), w)
+        helper(f"tp_dev_{w}", ["tp"], lambda o, w=w: o("tp") - o.mean(o("tp"), w))
+        factor(f"cci_{w}", [f"tp_dev_{w}"], lambda o, w=w: o.ratio(o(f"tp_dev_{w}"), 0.015 * o.mean(o.abs(f"tp_dev_{w}"), w)))
+        factor(f"williams_r_{w}", [], lambda o, w=w: o.ratio(-100 * (o.max("high", w) - o("close")), o.max("high", w) - o.min("low", w)))
+        helper("tp_step", ["tp"], lambda o: o("tp") - o.lag("tp"))
+        helper("flow_in", ["tp_step"], lambda o: o.when(o("tp_step") > 0, o("tp") * o("volume"), 0.0))
+        helper("flow_out", ["tp_step"], lambda o: o.when(o("tp_step") < 0, o("tp") * o("volume"), 0.0))
+        factor(f"money_flow_index_{w}", ["flow_in", "flow_out"], lambda o, w=w: 100 - o.ratio(100.0, 1 + o.ratio(o.sum(o("flow_in"), w), o.sum(o("flow_out"), w))))
 
 
 def _positions() -> None:
     for w in (20, 40, 60, 120, 240):
-        helper(f"hh_{w}", [], lambda w=w: _high(w))
-        helper(f"ll_{w}", [], lambda w=w: _low(w))
+        helper(f"hh_{w}", [], lambda o, w=w: o.max("high", w))
+        helper(f"ll_{w}", [], lambda o, w=w: o.min("low", w))
         both = [f"hh_{w}", f"ll_{w}"]
-        factor(f"price_position_{w}", both, lambda w=w: ratio(c("close") - c(f"ll_{w}"), c(f"hh_{w}") - c(f"ll_{w}")))
-        factor(f"breakout_high_{w}", both, lambda w=w: ratio(c("close"), c(f"hh_{w}")) - 1)
-        factor(f"breakdown_low_{w}", both, lambda w=w: ratio(c("close"), c(f"ll_{w}")) - 1)
+        factor(f"price_position_{w}", both, lambda o, w=w: o.ratio(o("close") - o(f"ll_{w}"), o(f"hh_{w}") - o(f"ll_{w}")))
+        factor(f"breakout_high_{w}", both, lambda o, w=w: o.ratio(o("close"), o(f"hh_{w}")) - 1)
+        factor(f"breakdown_low_{w}", both, lambda o, w=w: o.ratio(o("close"), o(f"ll_{w}")) - 1)
     for w in (20, 60, 120):
-        factor(f"close_to_high_{w}", [f"breakout_high_{w}"], lambda w=w: c(f"breakout_high_{w}"))
-        factor(f"close_to_low_{w}", [f"breakdown_low_{w}"], lambda w=w: c(f"breakdown_low_{w}"))
-    factor("new_high_distance_60", ["breakout_high_60"], lambda: c("breakout_high_60"))
-    factor("new_low_distance_60", ["breakdown_low_60"], lambda: c("breakdown_low_60"))
-
-
-def _share_of_last(name: str, w: int) -> Column:
-    """Average rank of the newest value among the frame's, as a share."""
-    frame = F.collect_list(name).over(trailing(w))
-    less, same = F.size(F.filter(frame, lambda x: x < c(name))), F.size(F.filter(frame, lambda x: x == c(name)))
-    return F.when(F.size(frame) >= least_observations(w), (less + (same + 1) / 2.0) / F.size(frame))
+        factor(f"close_to_high_{w}", [f"breakout_high_{w}"], lambda o, w=w: o(f"breakout_high_{w}"))
+        factor(f"close_to_low_{w}", [f"breakdown_low_{w}"], lambda o, w=w: o(f"breakdown_low_{w}"))
+    factor("new_high_distance_60", ["breakout_high_60"], lambda o: o("breakout_high_60"))
+    factor("new_low_distance_60", ["breakdown_low_60"], lambda o: o("breakdown_low_60"))
 
 
 def _liquidity() -> None:
     for what in ("amount", "turnover"):
         for w in (5, 10, 20, 40, 60, 120):
-            factor(f"{what}_mean_{w}", [], lambda what=what, w=w: roll_mean(c(what), w))
+            factor(f"{what}_mean_{w}", [], lambda o, what=what, w=w: o.mean(o(what), w))
         for w in (20, 60):
-            factor(f"{what}_zscore_{w}", [], lambda what=what, w=w: ratio(c(what) - roll_mean(c(what), w), roll_std(c(what), w)))
-            factor(f"{what}_percentile_{w}", [], lambda what=what, w=w: _share_of_last(what, w))
+            factor(f"{what}_zscore_{w}", [], lambda o, what=what, w=w: o.ratio(o(what) - o.mean(o(what), w), o.std(o(what), w)))
+            factor(f"{what}_percentile_{w}", [], lambda o, what=what, w=w: o.share_of_last(what, w))
     for what in ("volume", "amount"):
-        factor(f"{what}_ratio_5_20", [], lambda what=what: ratio(roll_mean(c(what), 5, 5), roll_mean(c(what), 20, 15)) - 1)
-        factor(f"{what}_ratio_10_60", [], lambda what=what: ratio(roll_mean(c(what), 10, 8), roll_mean(c(what), 60, 40)) - 1)
+        factor(f"{what}_ratio_5_20", [], lambda o, what=what: o.ratio(o.mean(o(what), 5, 5), o.mean(o(what), 20, 15)) - 1)
+        factor(f"{what}_ratio_10_60", [], lambda o, what=what: o.ratio(o.mean(o(what), 10, 8), o.mean(o(what), 60, 40)) - 1)
     for w in (5, 20, 60):
-        factor(f"vwap_bias_{w}", [], lambda w=w: ratio(c("close"), ratio(roll_sum(c("amount"), w), roll_sum(c("volume"), w))) - 1)
-    running = lambda x: F.sum(x).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    helper("obv", ["r0"], lambda: running(F.signum("r0") * c("volume")))
+        factor(f"vwap_bias_{w}", [], lambda o, w=w: o.ratio(o("close"), o.ratio(o.sum(o("amount"), w), o.sum(o("volume"), w))) - 1)
+    helper("obv", ["r0"], lambda o: o.running(o.sign("r0") * o("volume")))
     # Rounded, so that a total which is zero but for the last bits is zero, not a tiny divisor.
-    helper("pvt", ["r0"], lambda: F.round(running(c("r0") * c("volume")), 6))
-    helper("amount_change", [], lambda: change("amount", 1))
+    helper("pvt", ["r0"], lambda o: o.round(o.running(o("r0") * o("volume")), 6))
+    helper("amount_change", [], lambda o: o.change("amount", 1))
     for w in (20, 60):
-        factor(f"obv_slope_{w}", ["obv"], lambda w=w: change("obv", w))
-        factor(f"volume_price_corr_{w}", [], lambda w=w: roll_corr(c("volume"), c("close"), w))
-        factor(f"return_amount_corr_{w}", ["r", "amount_change"], lambda w=w: roll_corr(c("r"), c("amount_change"), w))
-        factor(f"amount_shock_count_{w}", [f"amount_zscore_{w}"], lambda w=w: roll_sum(flag(c(f"amount_zscore_{w}") > 1.5), w))
-        factor(f"signed_volume_flow_{w}", ["r0"], lambda w=w: ratio(roll_sum(F.signum("r0") * c("amount"), w), roll_sum(c("amount"), w)))
-        factor(f"price_volume_trend_{w}", ["pvt"], lambda w=w: change("pvt", w))
-        factor(f"amihud_illiquidity_{w}", ["r_abs"], lambda w=w: roll_mean(ratio(c("r_abs"), c("amount")), w, {20: 15, 60: 40}[w]))
+        factor(f"obv_slope_{w}", ["obv"], lambda o, w=w: o.change("obv", w))
+        factor(f"volume_price_corr_{w}", [], lambda o, w=w: o.corr(o("volume"), o("close"), w))
+        factor(f"return_amount_corr_{w}", ["r", "amount_change"], lambda o, w=w: o.corr(o("r"), o("amount_change"), w))
+        factor(f"amount_shock_count_{w}", [f"amount_zscore_{w}"], lambda o, w=w: o.sum(o.flag(o(f"amount_zscore_{w}") > 1.5), w))
+        factor(f"signed_volume_flow_{w}", ["r0"], lambda o, w=w: o.ratio(o.sum(o.sign("r0") * o("amount"), w), o.sum(o("amount"), w)))
+        factor(f"price_volume_trend_{w}", ["pvt"], lambda o, w=w: o.change("pvt", w))
+        factor(f"amihud_illiquidity_{w}", ["r_abs"], lambda o, w=w: o.mean(o.ratio(o("r_abs"), o("amount")), w, {20: 15, 60: 40}[w]))
         for what in ("volume", "amount", "turnover"):
-            factor(f"{what}_cv_{w}", [], lambda what=what, w=w: ratio(roll_std(c(what), w), roll_mean(c(what), w)))
+            factor(f"{what}_cv_{w}", [], lambda o, what=what, w=w: o.ratio(o.std(o(what), w), o.mean(o(what), w)))
         for what in ("amount", "turnover"):
-            factor(f"{what}_crowding_{w}", [f"{what}_percentile_{w}", f"volatility_{w}"], lambda what=what, w=w: c(f"{what}_percentile_{w}") * c(f"volatility_{w}"))
+            factor(f"{what}_crowding_{w}", [f"{what}_percentile_{w}", f"volatility_{w}"], lambda o, what=what, w=w: o(f"{what}_percentile_{w}") * o(f"volatility_{w}"))
 
 
 def _candles() -> None:
-    factor("intraday_return", [], lambda: ratio(c("close"), c("open")) - 1)
+    factor("intraday_return", [], lambda o: o.ratio(o("close"), o("open")) - 1)
     for name in ("overnight_return", "gap_return"):
-        factor(name, ["pc"], lambda: ratio(c("open"), c("pc")) - 1)
-    factor("amplitude", ["pc"], lambda: ratio(c("high") - c("low"), c("pc")))
-    helper("tr", ["pc"], lambda: F.greatest(c("high") - c("low"), F.abs(c("high") - c("pc")), F.abs(c("low") - c("pc"))))
+        factor(name, ["pc"], lambda o: o.ratio(o("open"), o("pc")) - 1)
+    factor("amplitude", ["pc"], lambda o: o.ratio(o("high") - o("low"), o("pc")))
+    helper("tr", ["pc"], lambda o: o.greatest(o("high") - o("low"), o.abs(o("high") - o("pc")), o.abs(o("low") - o("pc"))))
     for w in (5, 10, 20, 60):
-        factor(f"atr_pct_{w}", ["tr"], lambda w=w: ratio(roll_mean(c("tr"), w), c("close")))
-        factor(f"amplitude_mean_{w}", ["amplitude"], lambda w=w: roll_mean(c("amplitude"), w))
-    span = lambda: c("high") - c("low")
-    factor("close_position", [], lambda: ratio(c("close") - c("low"), span()))
-    factor("upper_shadow", [], lambda: ratio(c("high") - F.greatest("open", "close"), span()))
-    factor("lower_shadow", [], lambda: ratio(F.least("open", "close") - c("low"), span()))
-    factor("body_size", [], lambda: ratio(F.abs(c("close") - c("open")), span()))
+        factor(f"atr_pct_{w}", ["tr"], lambda o, w=w: o.ratio(o.mean(o("tr"), w), o("close")))
+        factor(f"amplitude_mean_{w}", ["amplitude"], lambda o, w=w: o.mean(o("amplitude"), w))
+    span = lambda o: o("high") - o("low")
+    factor("close_position", [], lambda o: o.ratio(o("close") - o("low"), span(o)))
+    factor("upper_shadow", [], lambda o: o.ratio(o("high") - o.greatest("open", "close"), span(o)))
+    factor("lower_shadow", [], lambda o: o.ratio(o.least("open", "close") - o("low"), span(o)))
+    factor("body_size", [], lambda o: o.ratio(o.abs(o("close") - o("open")), span(o)))
     for w in (20, 60):
-        factor(f"amplitude_zscore_{w}", ["amplitude", f"amplitude_mean_{w}"], lambda w=w: ratio(c("amplitude") - c(f"amplitude_mean_{w}"), roll_std(c("amplitude"), w)))
-        helper(f"close_std_{w}", [], lambda w=w: roll_std(c("close"), w))
-        factor(f"bollinger_zscore_{w}", [f"ma_{w}", f"close_std_{w}"], lambda w=w: ratio(c("close") - c(f"ma_{w}"), c(f"close_std_{w}")))
-        factor(f"bollinger_width_{w}", [f"ma_{w}", f"close_std_{w}"], lambda w=w: ratio(4 * c(f"close_std_{w}"), c(f"ma_{w}")))
-        factor(f"bollinger_breakout_count_{w}", [f"bollinger_zscore_{w}"], lambda w=w: roll_sum(flag(c(f"bollinger_zscore_{w}") > 2), w))
+        factor(f"amplitude_zscore_{w}", ["amplitude", f"amplitude_mean_{w}"], lambda o, w=w: o.ratio(o("amplitude") - o(f"amplitude_mean_{w}"), o.std(o("amplitude"), w)))
+        helper(f"close_std_{w}", [], lambda o, w=w: o.std(o("close"), w))
+        factor(f"bollinger_zscore_{w}", [f"ma_{w}", f"close_std_{w}"], lambda o, w=w: o.ratio(o("close") - o(f"ma_{w}"), o(f"close_std_{w}")))
+        factor(f"bollinger_width_{w}", [f"ma_{w}", f"close_std_{w}"], lambda o, w=w: o.ratio(4 * o(f"close_std_{w}"), o(f"ma_{w}")))
+        factor(f"bollinger_breakout_count_{w}", [f"bollinger_zscore_{w}"], lambda o, w=w: o.sum(o.flag(o(f"bollinger_zscore_{w}") > 2), w))
         for side, cut in (("up", 0.02), ("down", -0.02)):
-            factor(f"gap_{side}_count_{w}", ["gap_return"], lambda side=side, cut=cut, w=w: roll_sum(flag(c("gap_return") > cut if side == "up" else c("gap_return") < cut), w))
+            factor(f"gap_{side}_count_{w}", ["gap_return"], lambda o, side=side, cut=cut, w=w: o.sum(o.flag(o("gap_return") > cut if side == "up" else o("gap_return") < cut), w))
         for side in ("upper", "lower"):
-            factor(f"long_{side}_shadow_count_{w}", [f"{side}_shadow"], lambda side=side, w=w: roll_sum(flag(c(f"{side}_shadow") > 0.55), w))
-        factor(f"positive_body_ratio_{w}", [], lambda w=w: roll_mean(flag(c("close") > c("open")), w))
-        factor(f"range_compression_{w}", [f"amplitude_mean_{w}", "amplitude_mean_60"], lambda w=w: ratio(c(f"amplitude_mean_{w}"), c("amplitude_mean_60")))
-    factor("atr_contraction_20_60", ["atr_pct_20", "atr_pct_60"], lambda: ratio(c("atr_pct_20"), c("atr_pct_60")))
-
-
-def _skew(w: int, least: int) -> Column:
-    n = F.count("r").over(trailing(w)).cast("double")
-    return F.when(n >= least, F.skewness("r").over(trailing(w)) * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def _kurt(w: int, least: int) -> Column:
-    n = F.count("r").over(trailing(w)).cast("double")
-    return F.when(n >= least, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("r").over(trailing(w)) + 6))
-
-
-def _autocorrelation(w: int) -> Column:
-    """Correlation of the frame's returns with the ones before them, both within the frame. Only a symbol's first return is null."""
-    frame = trailing(w - 1)
-    x, y = F.when(c("r_prev").isNotNull(), c("r")), F.when(c("r").isNotNull(), c("r_prev"))
-    scale = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
-    varied = (F.count("r").over(trailing(w)) >= least_observations(w)) & (F.max("r").over(trailing(w)) > F.min("r").over(trailing(w)))
-    return F.when(varied, ratio(F.covar_samp(x, y).over(frame), scale))
+            factor(f"long_{side}_shadow_count_{w}", [f"{side}_shadow"], lambda o, side=side, w=w: o.sum(o.flag(o(f"{side}_shadow") > 0.55), w))
+        factor(f"positive_body_ratio_{w}", [], lambda o, w=w: o.mean(o.flag(o("close") > o("open")), w))
+        factor(f"range_compression_{w}", [f"amplitude_mean_{w}", "amplitude_mean_60"], lambda o, w=w: o.ratio(o(f"amplitude_mean_{w}"), o("amplitude_mean_60")))
+    factor("atr_contraction_20_60", ["atr_pct_20", "atr_pct_60"], lambda o: o.ratio(o("atr_pct_20"), o("atr_pct_60")))
 
 
 def _shapes() -> None:
     for w, least in ((20, 15), (60, 40)):
-        factor(f"return_skew_{w}", ["r"], lambda w=w, least=least: _skew(w, least))
-        factor(f"return_kurt_{w}", ["r"], lambda w=w, least=least: _kurt(w, least))
-        factor(f"limit_up_count_{w}", ["r"], lambda w=w: roll_sum(flag(c("r") >= 0.095), w, 1))
-        factor(f"limit_down_count_{w}", ["r"], lambda w=w: roll_sum(flag(c("r") <= -0.095), w, 1))
-        factor(f"up_day_ratio_{w}", ["r"], lambda w=w, least=least: roll_mean(flag(c("r") > 0), w, least))
-        factor(f"down_day_ratio_{w}", ["r"], lambda w=w, least=least: roll_mean(flag(c("r") < 0), w, least))
-        factor(f"return_autocorr_{w}", ["r", "r_prev"], lambda w=w: _autocorrelation(w))
-        factor(f"downside_tail_return_{w}", ["r"], lambda w=w: rolling(lambda x: F.percentile(x, 0.1), c("r"), w))
-        factor(f"upside_tail_return_{w}", ["r"], lambda w=w: rolling(lambda x: F.percentile(x, 0.9), c("r"), w))
-        factor(f"return_abs_mean_{w}", ["r_abs"], lambda w=w: roll_mean(c("r_abs"), w))
-        factor(f"close_above_ma_ratio_{w}", [f"ma_{w}"], lambda w=w: roll_mean(flag(c("close") > c(f"ma_{w}")), w))
+        factor(f"return_skew_{w}", ["r"], lambda o, w=w, least=least: o.skew("r", w, least))
+        factor(f"return_kurt_{w}", ["r"], lambda o, w=w, least=least: o.kurt("r", w, least))
+        factor(f"limit_up_count_{w}", ["r"], lambda o, w=w: o.sum(o.flag(o("r") >= 0.095), w, 1))
+        factor(f"limit_down_count_{w}", ["r"], lambda o, w=w: o.sum(o.flag(o("r") <= -0.095), w, 1))
+        factor(f"up_day_ratio_{w}", ["r"], lambda o, w=w, least=least: o.mean(o.flag(o("r") > 0), w, least))
+        factor(f"down_day_ratio_{w}", ["r"], lambda o, w=w, least=least: o.mean(o.flag(o("r") < 0), w, least))
+        factor(f"return_autocorr_{w}", ["r", "r_prev"], lambda o, w=w: o.autocorrelation("r", "r_prev", w))
+        factor(f"downside_tail_return_{w}", ["r"], lambda o, w=w: o.quantile("r", 0.1, w))
+        factor(f"upside_tail_return_{w}", ["r"], lambda o, w=w: o.quantile("r", 0.9, w))
+        factor(f"return_abs_mean_{w}", ["r_abs"], lambda o, w=w: o.mean(o("r_abs"), w))
+        factor(f"close_above_ma_ratio_{w}", [f"ma_{w}"], lambda o, w=w: o.mean(o.flag(o("close") > o(f"ma_{w}")), w))
         factor(
             f"shrinkage_breakout_{w}",
             [f"breakout_high_{w}", f"volume_cv_{w}"],
-            lambda w=w: flag(c(f"breakout_high_{w}") > -0.01) * flag(c(f"volume_cv_{w}") < rolling(lambda x: F.percentile(x, 0.5), c(f"volume_cv_{w}"), w) - 1e-12),
+            lambda o, w=w: o.flag(o(f"breakout_high_{w}") > -0.01) * o.flag(o(f"volume_cv_{w}") < o.quantile(f"volume_cv_{w}", 0.5, w) - 1e-12),
         )
-        factor(f"stalled_up_volume_{w}", ["r", f"amount_zscore_{w}"], lambda w=w: roll_sum(flag((c("r") > 0) & (c("r") < 0.01) & (c(f"amount_zscore_{w}") > 1)), w))
-        factor(f"low_volume_pullback_{w}", ["r", f"amount_zscore_{w}"], lambda w=w: roll_sum(flag((c("r") < 0) & (c(f"amount_zscore_{w}") < -0.5)), w))
-        factor(f"volatility_contraction_{w}", [f"volatility_{w}", "volatility_120"], lambda w=w: ratio(c(f"volatility_{w}"), c("volatility_120")))
-    factor("limit_up_near_5", ["r"], lambda: roll_sum(flag(c("r") >= 0.075), 5, 1))
-    factor("limit_down_near_5", ["r"], lambda: roll_sum(flag(c("r") <= -0.075), 5, 1))
+        factor(f"stalled_up_volume_{w}", ["r", f"amount_zscore_{w}"], lambda o, w=w: o.sum(o.flag((o("r") > 0) & (o("r") < 0.01) & (o(f"amount_zscore_{w}") > 1)), w))
+        factor(f"low_volume_pullback_{w}", ["r", f"amount_zscore_{w}"], lambda o, w=w: o.sum(o.flag((o("r") < 0) & (o(f"amount_zscore_{w}") < -0.5)), w))
+        factor(f"volatility_contraction_{w}", [f"volatility_{w}", "volatility_120"], lambda o, w=w: o.ratio(o(f"volatility_{w}"), o("volatility_120")))
+    factor("limit_up_near_5", ["r"], lambda o: o.sum(o.flag(o("r") >= 0.075), 5, 1))
+    factor("limit_down_near_5", ["r"], lambda o: o.sum(o.flag(o("r") <= -0.075), 5, 1))
     for kind in ("ma", "ema"):
         parts = [f"{kind}_{w}" for w in (5, 10, 20, 60)]
-        factor(f"{kind}_alignment_score", parts, lambda parts=parts: sum((flag(c(a) > c(b)) for a, b in zip(parts, parts[1:])), F.lit(0.0)) / 3)
+        factor(f"{kind}_alignment_score", parts, lambda o, parts=parts: sum((o.flag(o(a) > o(b)) for a, b in zip(parts, parts[1:])), 0.0) / 3)
     for w in (20, 60, 120):
-        factor(f"price_efficiency_{w}", [f"momentum_{w}", "r_abs"], lambda w=w: ratio(F.abs(f"momentum_{w}"), roll_sum(c("r_abs"), w)))
-        factor(f"trend_strength_{w}", [f"momentum_{w}", f"volatility_{w}"], lambda w=w: ratio(F.abs(f"momentum_{w}"), c(f"volatility_{w}")))
+        factor(f"price_efficiency_{w}", [f"momentum_{w}", "r_abs"], lambda o, w=w: o.ratio(o.abs(f"momentum_{w}"), o.sum(o("r_abs"), w)))
+        factor(f"trend_strength_{w}", [f"momentum_{w}", f"volatility_{w}"], lambda o, w=w: o.ratio(o.abs(f"momentum_{w}"), o(f"volatility_{w}")))
+    helper("row_place", [], lambda o: o.place())
     for side, sign in (("up", 1), ("down", -1)):
-        # Rows of a run share the count of rows outside the run so far.
-        helper(f"{side}_run", ["r"], lambda sign=sign: F.sum(1 - flag(sign * c("r") > 0)).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
-        factor(f"{side}_streak", [f"{side}_run", "r"], lambda side=side, sign=sign: F.sum(flag(sign * c("r") > 0)).over(Window.partitionBy("symbol", f"{side}_run").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+        factor(f"{side}_streak", ["row_place", "r"], lambda o, sign=sign: o.streak(sign * o("r") > 0, "row_place"))
 
 
 def _cross_section() -> None:
@@ -258,62 +216,67 @@ def _cross_section() -> None:
     sources |= {f"{what}_rank_{w}": f"{what}_mean_{w}" for what in ("amount", "turnover") for w in (20, 60)}
     for name, source in sources.items():
         # Rounded, so that means which differ only by the order of summation tie.
-        factor(f"cs_{name}", [source], lambda source=source: rank_share(F.round(source, 5 if source.startswith("amount") else 9), "date"))
+        across(f"cs_{name}", [source], lambda source=source: rank_share(F.round(source, 5 if source.startswith("amount") else 9), "date"))
     parts = ["cs_volatility_rank_20", "cs_turnover_rank_20", "cs_amount_rank_20"]
-    known = lambda p: F.when(c(p).isNotNull(), 1).otherwise(0)
-    factor("cs_liquidity_risk_score", parts, lambda: ratio(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)), sum((known(p) for p in parts), F.lit(0))))
-    factor("market_breadth", ["r"], lambda: F.avg(flag(c("r") > 0)).over(Window.partitionBy("date")))
-    factor("market_mean_return", ["r"], lambda: F.avg("r").over(Window.partitionBy("date")))
+    known = lambda p: F.when(F.col(p).isNotNull(), 1).otherwise(0)
+    across("cs_liquidity_risk_score", parts, lambda: F.try_divide(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)), sum((known(p) for p in parts), F.lit(0))))
+    across("market_breadth", ["r"], lambda: F.avg(flag(F.col("r") > 0)).over(Window.partitionBy("date")))
+    across("market_mean_return", ["r"], lambda: F.avg("r").over(Window.partitionBy("date")))
 
 
 for _family in (_returns, _averages, _oscillators, _positions, _liquidity, _candles, _shapes, _cross_section):
     _family()
 
 
-def smoothed(bars: DataFrame) -> DataFrame:
-    """bars with the exponential averages of a symbol's history."""
-    spans = [int(n.split("_")[1]) for n in SMOOTHED if n.startswith("ema_")]
-
-    def smooth(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("date").reset_index(drop=True)
-        for w in spans:
-            g[f"ema_{w}"] = g.close.ewm(span=w, adjust=False, min_periods=least_observations(w)).mean()
-        g["macd_raw"] = g.ema_12 - g.ema_26
-        g["macd_smooth"] = g.macd_raw.ewm(span=9, adjust=False, min_periods=6).mean()
-        need = least_observations(20)
-        low, high = g.low.rolling(20, min_periods=need).min(), g.high.rolling(20, min_periods=need).max()
-        stochastic = (g.close - low) / (high - low).where(high != low) * 100
-        g["kdj_k_9"] = stochastic.ewm(alpha=1 / 3, adjust=False, min_periods=6).mean()
-        g["kdj_d_9"] = g.kdj_k_9.ewm(alpha=1 / 3, adjust=False, min_periods=6).mean()
-        return g[[*BASE, *SMOOTHED]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in bars.select(*BASE).schema}
-    schema = ", ".join([*(f"{n} {t}" for n, t in kinds.items()), *(f"{n} double" for n in SMOOTHED)])
-    return bars.select(*BASE).groupBy("symbol").applyInPandas(smooth, schema)
-
-
-def factor_panel(bars: DataFrame, wanted: Iterable[str] | None = None, keep: Iterable[str] = ("date", "symbol")) -> DataFrame:
-    """keep and the wanted factors (all by default) for every bar. bars: the columns of BASE, one row per symbol and date."""
-    wanted = list(FACTORS if wanted is None else wanted)
+def _stages(wanted: Iterable[str], nodes: dict[str, tuple[tuple[str, ...], Callable]]) -> list[list[str]]:
+    """What of nodes is needed for the wanted ones, in stages: each needs only earlier ones."""
     level: dict[str, int] = {}
 
     def place(name: str) -> int:
-        if name in BASE or name in SMOOTHED:
+        if name not in nodes:
             return 0
         if name not in level:
-            level[name] = 1 + max((place(n) for n in NODES[name][0]), default=0)
+            level[name] = 1 + max((place(n) for n in nodes[name][0]), default=0)
         return level[name]
 
     for name in wanted:
         place(name)
-    seen: set[str] = set()
-    stack = list(wanted)
-    while stack:
-        name = stack.pop()
-        if name not in seen:
-            seen.add(name)
-            stack += NODES[name][0] if name in NODES else ()
-    df = smoothed(bars) if seen & set(SMOOTHED) else bars.select(*BASE)
-    for step in range(1, max(level.values(), default=0) + 1):
-        df = df.select("*", *[NODES[n][1]().alias(n) for n in sorted(level) if level[n] == step])
+    return [sorted(n for n in level if level[n] == step) for step in range(1, max(level.values(), default=0) + 1)]
+
+
+def by_symbol_pass(bars: DataFrame, stages: list[list[str]], keep: list[str], out: list[str]) -> DataFrame:
+    """keep and out of every bar, from one grouped pass per symbol."""
+    order = [name for stage in stages for name in stage]
+
+    def compute(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("date", ignore_index=True)
+        values = {n: g[n].to_numpy(dtype=float, na_value=np.nan) for n in BASE[2:]}
+        ops = Arrays(values)
+        with np.errstate(all="ignore"):
+            for name in order:
+                values[name] = np.broadcast_to(NODES[name][1](ops), len(g))
+        return pd.concat([g[keep], pd.DataFrame({n: values[n] for n in out})], axis=1)
+
+    narrow = bars.select(*BASE)
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in keep), *(f"{n} double" for n in out)])
+    return narrow.groupBy("symbol").applyInPandas(compute, schema)
+
+
+def factor_panel(bars: DataFrame, wanted: Iterable[str] | None = None, keep: Iterable[str] = ("date", "symbol"), long_frames: float = LONG_FRAMES) -> DataFrame:
+    """keep and the wanted factors (all by default) for every bar. bars: the columns of BASE, one row per symbol and date."""
+    wanted, keep = list(FACTORS if wanted is None else wanted), list(keep)
+    date_stages = _stages(wanted, ACROSS)
+    needed = list(dict.fromkeys([*(n for n in wanted if n in NODES), *(n for stage in date_stages for name in stage for n in ACROSS[name][0] if n in NODES)]))
+    stages = _stages(needed, NODES)
+    ops = Columns()
+    columns = [[NODES[n][1](ops).alias(n) for n in stage] for stage in stages]
+    if ops.rows > long_frames:
+        df = by_symbol_pass(bars, stages, list(dict.fromkeys(["date", "symbol", *keep])), needed)
+    else:
+        df = bars.select(*BASE)
+        for stage in columns:
+            df = df.select("*", *stage)
+    for stage in date_stages:
+        df = df.select("*", *[ACROSS[n][1]().alias(n) for n in stage])
     return df.select(*keep, *wanted)

@@ -78,6 +78,19 @@ family(
     [CLOSES, {k: EMA[k] for k in ("e12", "e26")}, {"m": "e12 - e26"}, {"ms": "list(m) FILTER (WHERE m IS NOT NULL) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)"}, {"sig": "CASE WHEN len(ms) >= 6 THEN list_reduce(ms, lambda e, x: 0.8 * e + 0.2 * x) END"}],
     {"macd_diff": "m / close", "macd_signal": "sig / close", "macd_hist": "(m - sig) / close"},
 )
+# The smoothing's weights reach over gaps; these bars have none after the first known value.
+STOCHASTIC = {"st": f"100 * (close - ({roll('min', 'low', 20)})) / nullif(({roll('max', 'high', 20)}) - ({roll('min', 'low', 20)}), 0)"}
+
+
+def thirds(x: str) -> str:
+    return f"CASE WHEN len({x}) >= 6 THEN list_reduce({x}, lambda e, v: 2 / 3 * e + 1 / 3 * v) END"
+
+
+def history(x: str) -> str:
+    return f"list({x}) FILTER (WHERE {x} IS NOT NULL) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)"
+
+
+family("f_kdj", [STOCHASTIC, {"sl": history("st")}, {"k": thirds("sl")}, {"kl": history("k")}, {"d": thirds("kl")}], {"kdj_k_9": "k", "kdj_d_9": "d", "kdj_j_9": "3 * k - 2 * d"})
 family("f_rsi", [R, {"g": "greatest(r, 0)", "l": "greatest(-r, 0)", "known": "r IS NOT NULL"}, {"g": "CASE WHEN known THEN g END", "l": "CASE WHEN known THEN l END"}], {f"rsi_{w}": f"100 - 100 / (1 + ({roll('avg', 'g', w)}) / nullif({roll('avg', 'l', w)}, 0))" for w in (6, 14, 24)}, 5)
 TP = {"tp": "(high + low + close) / 3"}
 family(
@@ -301,15 +314,23 @@ def _sql(name: str) -> str:
     return f"WITH {', '.join(ctes)} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, {out} FROM {last}"
 
 
-def f_kdj(spark: SparkSession, root: str) -> DataFrame:
-    """Stochastic oscillator; its gaps make the smoothing's weights depend on the row distance, which SQL states badly."""
-    return factor_panel(bars(spark, root), ["kdj_k_9", "kdj_d_9", "kdj_j_9"])
+#: Decimals by factor, for the panel of all.
+DIGITS = {name: digits for _, columns, digits in FAMILIES.values() for name in columns}
 
 
 def factor_panel_all(spark: SparkSession, root: str) -> DataFrame:
     """All factors of every bar."""
-    return factor_panel(bars(spark, root), FACTORS, ("date", "symbol", "close", "amount"))
+    panel = factor_panel(bars(spark, root), FACTORS, ("date", "symbol", "close", "amount"))
+    rounded = [(F.round(F.col(n) + (OFF_TIES if DIGITS[n] < 7 else 0), DIGITS[n]) + 0.0).alias(n) for n in FACTORS]
+    return panel.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "symbol", "close", "amount", *rounded)
+
+
+def _all_sql() -> str:
+    """The families side by side, each stated on its own."""
+    parts = [f"({_sql(name)}) AS {name}" for name in FAMILIES]
+    joined = " ".join([f"FROM (WITH {BARS_SQL} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, close, amount FROM bars) AS b", *(f"JOIN {p} USING (date, symbol)" for p in parts)])
+    return f"SELECT date, symbol, close, amount, {', '.join(f'{family}.{n}' for family, (_, columns, _) in FAMILIES.items() for n in columns)} {joined}"
 
 
-QUERIES = {**{name: _query(name) for name in FAMILIES}, "f_kdj": f_kdj, "factor_panel_all": factor_panel_all}
-SQL = {name: _sql(name) for name in FAMILIES}
+QUERIES = {**{name: _query(name) for name in FAMILIES}, "factor_panel_all": factor_panel_all}
+SQL = {**{name: _sql(name) for name in FAMILIES}, "factor_panel_all": _all_sql()}
