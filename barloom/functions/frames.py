@@ -153,9 +153,15 @@ class Arrays:
 
     def __init__(self, values: dict[str, np.ndarray]) -> None:
         self.values = values
+        self._named: set[int] = set()
+        self._kept: dict[tuple, np.ndarray] = {}
 
     def __call__(self, value: str | float | np.ndarray) -> np.ndarray | float:
-        return self.values[value] if isinstance(value, str) else value
+        if not isinstance(value, str):
+            return value
+        found = self.values[value]
+        self._named.add(id(found))
+        return found
 
     def lag(self, name: str, rows: int = 1) -> np.ndarray:
         v = self(name)
@@ -207,35 +213,52 @@ class Arrays:
     def _rolling(self, value: str | np.ndarray, w: int, least: int | None):
         return pd.Series(self(value)).rolling(w, min_periods=least_observations(w) if least is None else least)
 
+    def _over(self, kind: str, value: str | np.ndarray, w: int, least: int | None = None) -> np.ndarray:
+        """One statistic of trailing frames; of named values it is computed once. Named arrays live as long as self, so their ids are their own."""
+        value = self(value)
+        key = (kind, id(value), w, least)
+        if key in self._kept:
+            return self._kept[key]
+        out = getattr(self._rolling(value, w, least), kind)().to_numpy()
+        if id(value) in self._named:
+            self._kept[key] = out
+        return out
+
     def mean(self, value: np.ndarray, w: int, least: int | None = None) -> np.ndarray:
-        return self._rolling(value, w, least).mean().to_numpy()
+        return self._over("mean", value, w, least)
 
     def sum(self, value: np.ndarray, w: int, least: int | None = None) -> np.ndarray:
-        return self._rolling(value, w, least).sum().to_numpy()
+        return self._over("sum", value, w, least)
 
     def std(self, value: np.ndarray, w: int) -> np.ndarray:
-        return self._rolling(value, w, None).std().to_numpy()
+        return self._over("std", value, w)
 
     def max(self, value: str | np.ndarray, w: int) -> np.ndarray:
-        return self._rolling(value, w, None).max().to_numpy()
+        return self._over("max", value, w)
 
     def min(self, value: str | np.ndarray, w: int) -> np.ndarray:
-        return self._rolling(value, w, None).min().to_numpy()
+        return self._over("min", value, w)
 
     def quantile(self, value: str | np.ndarray, q: float, w: int) -> np.ndarray:
         return self._rolling(value, w, None).quantile(q).to_numpy()
 
+    @staticmethod
+    def _frame_sums(value: np.ndarray, w: int) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(np.nan_to_num(value))])
+        end = np.arange(1, len(total))
+        return total[end] - total[np.maximum(end - w, 0)]
+
     def _correlation(self, a: np.ndarray, b: np.ndarray, w: int, least: int) -> np.ndarray:
         both = ~(np.isnan(a) | np.isnan(b))
         if not both.any():
             return np.full(len(a), np.nan)
-        # Centred and scaled first, so that the sums of squares keep their digits.
+        # Centred and scaled first, so that differences of running sums keep their digits.
         x, y = (np.where(both, (v - v[both].mean()) / (v[both].std() or 1.0), np.nan) for v in (a, b))
-        roll = lambda v: self._rolling(v, w, least)
-        n, sx, sy = roll(x).count().to_numpy(), roll(x).sum().to_numpy(), roll(y).sum().to_numpy()
-        vx, vy = (np.where(roll(v).max().to_numpy() > roll(v).min().to_numpy(), roll(v * v).sum().to_numpy() - s * s / n, 0.0) for v, s in ((x, sx), (y, sy)))
+        n, sx, sy = (self._frame_sums(v, w) for v in (both.astype(float), x, y))
+        moves = [self._rolling(v, w, 1).max().to_numpy() > self._rolling(v, w, 1).min().to_numpy() for v in (x, y)]
+        vx, vy = (np.where(m, self._frame_sums(v * v, w) - t * t / n, 0.0) for m, v, t in zip(moves, (x, y), (sx, sy)))
         scale = np.sqrt(np.maximum(vx, 0.0)) * np.sqrt(np.maximum(vy, 0.0))
-        return np.where(n >= least, self.ratio(roll(x * y).sum().to_numpy() - sx * sy / n, scale), np.nan)
+        return np.where(n >= least, self.ratio(self._frame_sums(x * y, w) - sx * sy / n, scale), np.nan)
 
     def corr(self, a: np.ndarray, b: np.ndarray, w: int) -> np.ndarray:
         return self._correlation(a, b, w, least_observations(w))

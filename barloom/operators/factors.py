@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,39 +244,71 @@ def _stages(wanted: Iterable[str], nodes: dict[str, tuple[tuple[str, ...], Calla
     return [sorted(n for n in level if level[n] == step) for step in range(1, max(level.values(), default=0) + 1)]
 
 
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].cast(pa.float64()).to_numpy()  # null becomes NaN
+
+
+def _pass(order: list[str], table: pa.Table, more: dict[str, np.ndarray], keep: list[str], out: list[str]) -> pa.Table:
+    values = {n: _numbers(table, n) for n in BASE[2:]}
+    ops = Arrays(values)
+    with np.errstate(all="ignore"):
+        for name in order:
+            values[name] = np.broadcast_to(NODES[name][1](ops), table.num_rows)
+    values.update(more)
+    return pa.table({**{n: table[n] for n in keep}, **{n: pa.array(values[n], from_pandas=True) for n in out}})
+
+
+def _schema(df: DataFrame, keep: list[str], out: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join([*(f"{n} {kinds[n]}" for n in keep), *(f"{n} double" for n in out)])
+
+
 def by_symbol_pass(bars: DataFrame, stages: list[list[str]], keep: list[str], out: list[str]) -> DataFrame:
     """keep and out of every bar, from one grouped pass per symbol."""
-    order = [name for stage in stages for name in stage]
+    order, narrow = [name for stage in stages for name in stage], bars.select(*BASE)
+    compute = lambda group: _pass(order, group.sort_by("date"), {}, keep, out)
+    return narrow.groupBy("symbol").applyInArrow(compute, _schema(narrow, keep, out))
 
-    def compute(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("date", ignore_index=True)
-        values = {n: g[n].to_numpy(dtype=float, na_value=np.nan) for n in BASE[2:]}
-        ops = Arrays(values)
-        with np.errstate(all="ignore"):
-            for name in order:
-                values[name] = np.broadcast_to(NODES[name][1](ops), len(g))
-        return pd.concat([g[keep], pd.DataFrame({n: values[n] for n in out})], axis=1)
 
-    narrow = bars.select(*BASE)
-    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    schema = ", ".join([*(f"{n} {kinds[n]}" for n in keep), *(f"{n} double" for n in out)])
-    return narrow.groupBy("symbol").applyInPandas(compute, schema)
+def joined_pass(bars: DataFrame, stages: list[list[str]], ranks: DataFrame, across: list[str], keep: list[str], out: list[str]) -> DataFrame:
+    """As by_symbol_pass, with the columns across of ranks (one row per bar) brought in by symbol, so that wide rows are never shuffled."""
+    order, narrow = [name for stage in stages for name in stage], bars.select(*BASE)
+
+    def compute(group: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("date")
+        return _pass(order, group.sort_by("date"), {n: _numbers(known, n) for n in across}, keep, out)
+
+    return narrow.groupBy("symbol").cogroup(ranks.groupBy("symbol")).applyInArrow(compute, _schema(narrow, keep, out))
 
 
 def factor_panel(bars: DataFrame, wanted: Iterable[str] | None = None, keep: Iterable[str] = ("date", "symbol"), long_frames: float = LONG_FRAMES) -> DataFrame:
-    """keep and the wanted factors (all by default) for every bar. bars: the columns of BASE, one row per symbol and date."""
+    """keep and the wanted factors (all by default) for every bar. bars: the columns of BASE, one row per symbol and date.
+
+    With both a pass per symbol and factors across symbols, what the latter need is computed first, on its own, ranked in
+    narrow rows by date, and joined to the rest within the pass.
+    """
     wanted, keep = list(FACTORS if wanted is None else wanted), list(keep)
     date_stages = _stages(wanted, ACROSS)
-    needed = list(dict.fromkeys([*(n for n in wanted if n in NODES), *(n for stage in date_stages for name in stage for n in ACROSS[name][0] if n in NODES)]))
+    sources = list(dict.fromkeys(n for stage in date_stages for name in stage for n in ACROSS[name][0] if n in NODES))
+    own = [n for n in wanted if n in NODES]
+    needed = list(dict.fromkeys([*own, *sources]))
     stages = _stages(needed, NODES)
     ops = Columns()
     columns = [[NODES[n][1](ops).alias(n) for n in stage] for stage in stages]
-    if ops.rows > long_frames:
-        df = by_symbol_pass(bars, stages, list(dict.fromkeys(["date", "symbol", *keep])), needed)
-    else:
+    key = ["date", "symbol"]
+
+    def ranked(df: DataFrame) -> DataFrame:
+        for stage in date_stages:
+            df = df.select("*", *[ACROSS[n][1]().alias(n) for n in stage])
+        return df
+
+    if ops.rows <= long_frames:
         df = bars.select(*BASE)
         for stage in columns:
             df = df.select("*", *stage)
-    for stage in date_stages:
-        df = df.select("*", *[ACROSS[n][1]().alias(n) for n in stage])
-    return df.select(*keep, *wanted)
+        return ranked(df).select(*keep, *wanted)
+    if own and sources:
+        names = [n for n in wanted if n in ACROSS]
+        ranks = ranked(by_symbol_pass(bars, _stages(sources, NODES), key, sources)).select(*key, *names)
+        return joined_pass(bars, stages, ranks, names, list(dict.fromkeys([*key, *keep])), wanted).select(*keep, *wanted)
+    return ranked(by_symbol_pass(bars, stages, list(dict.fromkeys([*key, *keep])), needed)).select(*keep, *wanted)
