@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +46,11 @@ class Costs:
 
 
 def simulate(targets: DataFrame, bars: DataFrame, costs: Costs) -> DataFrame:
-    """(scenario, kind, date, symbol, shares, value, cash, cost): 'trade' rows and a daily 'equity' row per scenario.
+    """(scenario, kind, date, symbol, shares, value, cash, fee, tax, realised): one schema for four kinds of rows per scenario.
+
+    'trade': shares and gross value, negative for sales, with fee, tax and, of sales, the profit over the cost of the lots
+    sold, first in first out. 'equity': every day's cash and value of the holdings. 'holding': every day's shares and value
+    of each symbol held. 'rebalance': value is the turnover, traded value as a share of equity at the open.
 
     Targets (scenario, date, symbol, weight) are executed at the open of the first date after theirs, in whole lots,
     sales before purchases; shares bought on a day are not sold on it; purchases stop at the cash left. Days are marked
@@ -67,23 +72,33 @@ def simulate(targets: DataFrame, bars: DataFrame, costs: Costs) -> DataFrame:
         symbols, cash = list(close.columns), costs.cash
         shares, locked = np.zeros(len(symbols), dtype=np.int64), np.zeros(len(symbols), dtype=np.int64)
         lots = lambda x: (np.floor(np.nan_to_num(x) / costs.lot) * costs.lot).astype(np.int64)
+        lots_held: list[deque] = [deque() for _ in symbols]
         out = []
         for day in close.index:
             locked[:] = 0
             price, wanted = open_.loc[day].to_numpy(), weight.loc[day].to_numpy()
             if not np.isnan(wanted).all():
                 tradable = np.isfinite(price) & (price > 0)
-                equity = cash + float(np.nansum(shares * np.where(tradable, price, close.loc[day].to_numpy())))
+                traded, equity = 0.0, cash + float(np.nansum(shares * np.where(tradable, price, close.loc[day].to_numpy())))
                 goal = np.where(tradable, lots(equity * np.nan_to_num(wanted) / np.where(tradable, price, 1.0)), shares)
                 for i in np.flatnonzero(goal < shares):
                     n = int(lots(np.array(min(shares[i] - goal[i], shares[i] - locked[i]))))
                     if n <= 0:
                         continue
                     gross = price[i] * (1 - costs.slippage) * n
-                    cost = gross * (costs.fee + costs.tax)
+                    fee, tax, paid, left = gross * costs.fee, gross * costs.tax, 0.0, n
+                    while left:
+                        lot = lots_held[i][0]
+                        used = min(left, lot[0])
+                        paid += used * lot[1]
+                        lot[0] -= used
+                        left -= used
+                        if not lot[0]:
+                            lots_held[i].popleft()
                     shares[i] -= n
-                    cash += gross - cost
-                    out.append(("trade", day, symbols[i], -n, -gross, cash, cost))
+                    cash += gross - fee - tax
+                    traded += gross
+                    out.append(("trade", day, symbols[i], -n, -gross, cash, fee, tax, gross - fee - tax - paid))
                 for i in np.flatnonzero(goal > shares):
                     fill = price[i] * (1 + costs.slippage)
                     n = int(min(goal[i] - shares[i], lots(np.array(cash / (fill * (1 + costs.fee))))))
@@ -91,28 +106,42 @@ def simulate(targets: DataFrame, bars: DataFrame, costs: Costs) -> DataFrame:
                     gross = fill * n
                     if n <= 0 or gross < costs.least_trade:
                         continue
-                    cost = gross * costs.fee
+                    fee = gross * costs.fee
                     shares[i] += n
                     locked[i] += n
-                    cash -= gross + cost
-                    out.append(("trade", day, symbols[i], n, gross, cash, cost))
-            value = float(np.nansum(shares * close.loc[day].to_numpy()))
-            out.append(("equity", day, None, int(shares.sum()), value, cash, 0.0))
-        frame = pd.DataFrame(out, columns=["kind", "date", "symbol", "shares", "value", "cash", "cost"])
+                    lots_held[i].append([n, fill])
+                    cash -= gross + fee
+                    traded += gross
+                    out.append(("trade", day, symbols[i], n, gross, cash, fee, 0.0, 0.0))
+                out.append(("rebalance", day, None, int(shares.sum()), traded / equity if equity > 0 else 0.0, cash, 0.0, 0.0, 0.0))
+            marks = shares * close.loc[day].to_numpy()
+            out += [("holding", day, symbols[i], int(shares[i]), float(marks[i]), cash, 0.0, 0.0, 0.0) for i in np.flatnonzero(shares)]
+            out.append(("equity", day, None, int(shares.sum()), float(np.nansum(marks)), cash, 0.0, 0.0, 0.0))
+        frame = pd.DataFrame(out, columns=["kind", "date", "symbol", "shares", "value", "cash", "fee", "tax", "realised"])
         return frame.assign(scenario=group.scenario.iloc[0])
 
-    return feed.groupBy("scenario").applyInPandas(run, "scenario string, kind string, date date, symbol string, shares long, value double, cash double, cost double")
+    return feed.groupBy("scenario").applyInPandas(run, "scenario string, kind string, date date, symbol string, shares long, value double, cash double, fee double, tax double, realised double")
 
 
-def equity_metrics(ledger: DataFrame, year_days: int = 252) -> DataFrame:
-    """Per scenario: total and annual return, volatility, Sharpe ratio, worst drawdown, trades and cost."""
+def equity_metrics(ledger: DataFrame, start: float = 1_000_000.0, year_days: int = 252) -> DataFrame:
+    """Per scenario: returns, volatility, Sharpe and Calmar ratio, worst drawdown, share of sales with profit, turnover, trades and costs."""
     order = Window.partitionBy("scenario").orderBy("date")
     equity = ledger.where("kind = 'equity'").select("scenario", "date", (F.col("cash") + F.col("value")).alias("e"))
-    daily = equity.withColumn("r", F.try_divide("e", F.lag("e").over(order)) - 1).withColumn("dd", F.col("e") / F.max("e").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    per = daily.groupBy("scenario").agg((F.max_by("e", "date") / F.min_by("e", "date") - 1).alias("total_return"), F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_pop("r").alias("s"), F.min("dd").alias("max_drawdown"))
-    trades = ledger.where("kind = 'trade'").groupBy("scenario").agg(F.count(F.lit(1)).alias("trades"), F.sum("cost").alias("cost"), F.sum(F.abs("value")).alias("traded"))
-    annual = F.pow(1 + F.col("total_return"), F.try_divide(F.lit(float(year_days)), F.col("n"))) - 1
-    return per.join(trades, "scenario", "left").select(
-        "scenario", "total_return", annual.alias("annual_return"), (F.col("s") * F.sqrt(F.lit(float(year_days)))).alias("volatility"), F.try_divide(F.col("m") * F.sqrt(F.lit(float(year_days))), F.col("s")).alias("sharpe"), "max_drawdown",
-        F.coalesce("trades", F.lit(0)).alias("trades"), F.coalesce("cost", F.lit(0.0)).alias("cost"), F.try_divide(F.col("cost") * 10_000, F.col("traded")).alias("cost_bps"),
+    step = F.coalesce(F.try_divide("e", F.lag("e").over(order)) - 1, F.lit(0.0))
+    daily = equity.withColumn("r", step).withColumn("dd", F.col("e") / F.max("e").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    per = daily.groupBy("scenario").agg(F.max_by("e", "date").alias("final_equity"), F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.stddev_pop("r").alias("s"), F.min("dd").alias("max_drawdown"))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    sold = (F.col("kind") == "trade") & (F.col("shares") < 0)
+    rest = ledger.groupBy("scenario").agg(
+        F.count_if(F.col("kind") == "trade").alias("trade_count"), F.count_if(F.col("kind") == "rebalance").alias("rebalance_count"),
+        F.coalesce(F.avg(F.when(sold, (F.col("realised") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"),
+        F.coalesce(F.avg(of("rebalance", F.col("value"))), F.lit(0.0)).alias("avg_turnover"), F.coalesce(F.sum(of("rebalance", F.col("value"))), F.lit(0.0)).alias("total_turnover"),
+        F.coalesce(F.sum(of("trade", F.col("fee") + F.col("tax"))), F.lit(0.0)).alias("cost"), F.sum(of("trade", F.abs("value"))).alias("traded"),
+    )
+    total = F.col("final_equity") / start - 1
+    annual = F.pow(1 + total, float(year_days) / F.col("n")) - 1
+    root = F.sqrt(F.lit(float(year_days)))
+    return per.join(rest, "scenario").select(
+        "scenario", F.lit(start).alias("initial_cash"), "final_equity", total.alias("total_return"), annual.alias("annual_return"), (F.col("s") * root).alias("annual_volatility"), F.coalesce(F.try_divide("m", "s") * root, F.lit(0.0)).alias("sharpe"), "max_drawdown",
+        F.when(F.col("max_drawdown") < 0, annual / F.abs("max_drawdown")).otherwise(0.0).alias("calmar"), "win_rate", "avg_turnover", "total_turnover", "trade_count", "rebalance_count", "cost", F.try_divide(F.col("cost") * 10_000, "traded").alias("cost_bps"),
     )

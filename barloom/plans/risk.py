@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import by_symbol
 from barloom.operators import risk as R
-from barloom.plans.evaluation import _PREDICTIONS, predictions
+from barloom.plans.evaluation import _PREDICTIONS, backtest_ledger, predictions
 from barloom.plans.events import _HELD, news_factors
 from barloom.plans.research import _TARGETS, rounded, sql_corr, sql_rank, targets, tidy, with_final
 from barloom.sources import table
@@ -136,3 +136,10 @@ sf AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY symbol ORDER BY date) -
     "direction_accuracy brier return_ic top_bucket_return bottom_bucket_return max_forward_drawdown", 5))
 def symbol_backtest(spark: SparkSession, root: str) -> DataFrame:
     return tidy(R.symbol_backtest(predictions(spark, root).withColumn("prob_up", F.round("prob_up", 9))), 5)
+
+
+@query()
+def backtest_costs(spark: SparkSession, root: str) -> DataFrame:
+    """Costs of the simulated trades of all scenarios, of all and by side."""
+    trades = backtest_ledger(spark, root).where("kind = 'trade'").select(F.when(F.col("shares") > 0, "buy").otherwise("sell").alias("side"), F.abs("value").alias("gross_value"), "fee", "tax")
+    return R.cost_summary(trades, 0.0005)

@@ -129,13 +129,18 @@ def test_targets_and_simulation_keep_their_invariants(spark, bars, pdf):
     buys = trades[trades.shares > 0]
     sells = trades[trades.shares < 0]
     assert not set(map(tuple, buys[["scenario", "date", "symbol"]].values)) & set(map(tuple, sells[["scenario", "date", "symbol"]].values))
-    np.testing.assert_allclose(buys.cost / buys.value, 0.0003)
-    np.testing.assert_allclose(sells.cost / -sells.value, 0.0013)
+    np.testing.assert_allclose(buys.fee / buys.value, 0.0003)
+    np.testing.assert_allclose((sells.fee + sells.tax) / -sells.value, 0.0013)
     for _, part in ledger.groupby("scenario"):
-        spent = (part.value + part.cost)[part.kind == "trade"].sum()
-        assert abs(1_000_000 - spent - part[part.kind == "equity"].sort_values("date").cash.iloc[-1]) < 1e-4
+        spent = (part.value + part.fee + part.tax)[part.kind == "trade"].sum()
+        held = part[part.kind == "holding"].groupby("date").value.sum()
+        day = part[part.kind == "equity"].set_index("date").value
+        np.testing.assert_allclose(day[held.index], held)
+        bought = part[(part.kind == "trade") & (part.shares > 0)].value.sum()
+        paid = (-part.value - part.fee - part.tax - part.realised)[(part.kind == "trade") & (part.shares < 0)].sum()
+        assert bought - paid >= -1e-6  # the cost of what is still held
     metrics = portfolio.equity_metrics(spark.createDataFrame(ledger)).toPandas()
-    assert len(metrics) == 2 and (metrics.max_drawdown <= 0).all()
+    assert len(metrics) == 2 and (metrics.max_drawdown <= 0).all() and metrics.win_rate.between(0, 1).all() and (metrics.total_turnover > 0).all()
 
 
 def test_nearest_is_exact(spark):
@@ -311,3 +316,28 @@ def test_similar_events_are_searched_among_all_earlier_ones(spark):
         assert got == want
     other = {r["row_id"]: r["symbol"] for r in known}
     assert any(other[q] != other[m] for (q, _), (m, _) in want.items()) and len(want) > 40
+
+
+def test_vendor_layouts_and_generated_bars(spark, tmp_path):
+    from barloom.operators.quality import quality_issues
+    from barloom.sources import bars as B
+
+    chinese = spark.createDataFrame([("2023-01-02", "1", "3", "0.5", "2", "10", "20", "x")], "`日期` string, `开盘` string, ` 最高 ` string, `最低` string, `收盘` string, `成交量` string, `成交额` string, `换手率` string")
+    row = B.named_fields(chinese, scales={"volume": 100, "amount": 1000}).first()
+    assert (str(row.date), row.open, row.high, row.volume, row.amount, row.turnover) == ("2023-01-02", 1.0, 3.0, 1000.0, 20_000.0, None)
+    wide = spark.createDataFrame([tuple(["20230103", "s", *map(str, range(2, 12))])], ", ".join(f"c{k} string" for k in range(12)))
+    got = B.named_fields(wide).first()
+    assert (str(got.date), got.open, got.close, got.turnover) == ("2023-01-03", 2.0, 3.0, 11.0)
+    with pytest.raises(ValueError):
+        B.named_fields(wide.select("c0", "c1"))
+    codes = spark.createDataFrame([("600000",), ("430001",), ("000001",)], "s string").select(B.exchange_code(F.col("s")).alias("c"))
+    assert [r.c for r in codes.collect()] == ["600000.SH", "430001.BJ", "000001.SZ"]
+    made = B.generated_bars(spark, ["000001", "600000", "000001"], "2023-01-02", "2023-03-31")
+    assert made.count() == 2 * 65 and quality_issues(made).count() == 0
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, B.generated_bars(spark, ["600000", "000001"], "2023-01-02", "2023-03-31").repartition(7).collect()))
+    moves = made.toPandas().sort_values(["symbol", "date"]).groupby("symbol").close.pct_change()
+    assert moves.abs().max() <= 0.095 + 1e-9 and moves.std() > 0.005
+    manifest = B.write_bundle({"a": made, "b": made.limit(3).select("symbol", "close")}, str(tmp_path), notes={"run": 1})
+    assert sorted((r.name, r.rows) for r in manifest.collect()) == [("a", 130), ("b", 3)]
+    both = B.collected_files(spark, [f"{tmp_path}/a", f"{tmp_path}/b", f"{tmp_path}/a"])
+    assert both.count() == 133 and both.where("open IS NULL").count() == 3 and both.select("file").distinct().count() >= 2
