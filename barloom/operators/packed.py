@@ -126,6 +126,10 @@ def _add(a: float, b: float) -> float:
 
 def expected(pieces: Sequence[Piece], weight: float, model: Model, value_counts: np.ndarray, join_counts: np.ndarray, split_counts: np.ndarray) -> None:
     """Add the expected counts over all paths (forward-backward). Edges are made anew in each pass, so memory grows with the pieces only."""
+    if all(p.kind != OPEN for p in pieces):  # one path, certain: each value counts in full
+        for p in pieces:
+            value_counts[_crc(p.value) % VALUE_SLOTS] += weight
+        return
     n = len(pieces)
     forward, backward = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
     for i in range(n):
