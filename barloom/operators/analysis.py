@@ -124,6 +124,13 @@ def regime_rank_ic(long: DataFrame, regimes: DataFrame, least: int = 10) -> Data
     return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), pearson("value_rank", "label_rank").alias("rank_ic")).where(F.col("rows") >= least)
 
 
+def regime_stability(per_regime: DataFrame) -> DataFrame:
+    """Per factor of regime_rank_ic: regimes, share of them with a positive rank correlation, and the worst one; ties in order of name."""
+    ic = F.coalesce("rank_ic", F.lit(0.0))
+    worst = F.min(F.struct(F.round(ic, 9).alias("ic"), "regime"))
+    return per_regime.groupBy("factor").agg(F.count(F.lit(1)).alias("regimes"), F.avg((ic > 1e-9).cast("double")).alias("positive_ratio"), worst["ic"].alias("worst_rank_ic"), worst["regime"].alias("worst_regime"))
+
+
 def factor_correlations(panel: DataFrame, factors: Sequence[str]) -> DataFrame:
     """(factor, max_abs_correlation, max_corr_factor, vif_proxy), pairwise over rows where both are known.
 

@@ -285,6 +285,35 @@ def contributors(panel: DataFrame, factors: Sequence[str], k: int = 5) -> DataFr
     return z.withColumn("place", place).where(F.col("place") <= k)
 
 
+def similar_states(panel: DataFrame, features: Sequence[str], k: int = 20, least: int = 5) -> DataFrame:
+    """(symbol, date, distance, place): the k earlier dates of each symbol whose features are closest to its latest ones.
+
+    Features are standardised over the symbol's earlier dates; an unknown one counts as their mean, and those unknown on the
+    latest date count for nothing. Symbols with fewer than least known features there give no row. Ties, to nine digits,
+    go to the earlier date. A symbol's dates are bounded by its calendar.
+    """
+    last = panel.groupBy("symbol").agg(F.max("date").alias("last_"), F.max_by(F.struct(*[F.col(f).alias(f) for f in features]), "date").alias("now_"))
+    history = panel.join(last, "symbol").where(F.col("date") < F.col("last_"))
+    stats = history.groupBy("symbol").agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_samp(f).alias(f"s_{f}") for f in features])
+    total, known = F.lit(0.0), F.lit(0)
+    for f in features:
+        scale = F.when(F.col(f"s_{f}") > 0, F.col(f"s_{f}"))
+        z = lambda x, f=f, scale=scale: F.coalesce((x - F.col(f"m_{f}")) / scale, F.lit(0.0))
+        usable = F.col(f"now_.{f}").isNotNull()
+        total = total + F.when(usable, F.pow(z(F.col(f)) - z(F.col(f"now_.{f}")), 2)).otherwise(0.0)
+        known = known + usable.cast("int")
+    far = history.join(stats, "symbol").where(known >= least).select("symbol", "date", F.sqrt(total).alias("distance"))
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.round("distance", 9), "date"))
+    return far.withColumn("place", place).where(F.col("place") <= k)
+
+
+def status_summary(rows: DataFrame, groups: Sequence[str], status: str, fallback: str) -> DataFrame:
+    """Per group: rows, its distinct known statuses in order, whether they are mixed, and the share of rows whose status holds fallback."""
+    seen = F.array_sort(F.collect_set(status))  # as many as there are kinds of status
+    share = F.avg(F.coalesce(F.col(status).contains(fallback), F.lit(False)).cast("double"))
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), F.array_join(seen, ";").alias("statuses"), (F.size(seen) > 1).alias("mixed"), share.alias("fallback_rate"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, *, row_id: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """(query_id, neighbour_id, distance, place): the k nearest other vectors of every query, exactly.
 

@@ -13,7 +13,7 @@ from barloom.operators import evaluation as V
 from barloom.operators import portfolio as P
 from barloom.functions.rolling import rank_share
 from barloom.operators.factors import FACTORS
-from barloom.plans.research import _SCORE, CHOSEN, WEIGHTS, panel, sql_corr, sql_rank, targets, tidy, with_final
+from barloom.plans.research import _SCORE, CHOSEN, WEIGHTS, panel, rounded, sql_corr, sql_rank, targets, tidy, with_final
 from barloom.session import cut_lineage
 from barloom.sources import table
 from barloom.sources.fixtures import BARS_SQL, bars
@@ -192,6 +192,25 @@ def nearest_states(spark: SparkSession, root: str) -> DataFrame:
     return tidy(V.nearest(vectors, vectors.where("vec_id % 20 = 0"), row_id="vec_id", vector="embedding", k=5))
 
 
+_STATES = ["momentum_20", "reversal_5", "volatility_20", "amount_mean_20", "intraday_return"]
+_DISTANCE = " + ".join(f"power(coalesce((h.{f} - m_{f}) / nullif(s_{f}, 0), 0) - coalesce((l.{f} - m_{f}) / nullif(s_{f}, 0), 0), 2)" for f in _STATES)
+
+
+@query(with_final(_SCORE + f""", la AS (SELECT symbol, max(date) AS d FROM panel GROUP BY 1), l AS (SELECT p.* FROM panel p JOIN la ON la.symbol = p.symbol AND la.d = p.date), h AS (SELECT p.* FROM panel p JOIN la ON la.symbol = p.symbol AND p.date < la.d),
+st AS (SELECT symbol, {', '.join(f'avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}' for f in _STATES)} FROM h GROUP BY 1),
+di AS (SELECT h.symbol, h.date, sqrt({_DISTANCE}) AS distance FROM h JOIN l ON l.symbol = h.symbol JOIN st ON st.symbol = h.symbol WHERE {' AND '.join(f'l.{f} IS NOT NULL' for f in _STATES)})""",
+    "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY round(distance, 9), date) AS INTEGER) AS place FROM di) WHERE place <= 20", "distance", 5), dates="date")
+def similar_states(spark: SparkSession, root: str) -> DataFrame:
+    """The twenty earlier dates of each symbol most like its latest one."""
+    return tidy(V.similar_states(panel(spark, root).select("symbol", "date", *_STATES), _STATES), 5)
+
+
+@query(rounded("SELECT model_type, horizon_days, count(*) AS rows, coalesce(string_agg(DISTINCT probability_calibration_status, ';' ORDER BY probability_calibration_status), '') AS statuses, count(DISTINCT probability_calibration_status) > 1 AS mixed, avg(CASE WHEN contains(coalesce(probability_calibration_status, ''), 'sparse') THEN 1.0 ELSE 0.0 END) AS fallback_rate FROM stock_forecast GROUP BY 1, 2", "fallback_rate"))
+def model_audit(spark: SparkSession, root: str) -> DataFrame:
+    """Calibration statuses of the forecasts by model and horizon."""
+    return tidy(V.status_summary(table(spark, root, "stock_forecast"), ["model_type", "horizon_days"], "probability_calibration_status", "sparse"))
+
+
 @query()
 def targets_capped(spark: SparkSession, root: str) -> DataFrame:
     """Weekly targets with turnover capped at a half, at one, and not at all."""
