@@ -191,12 +191,13 @@ def fit_segmentation(packed: DataFrame, grammar: Grammar, rounds: int = 6) -> di
 
             def tally(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
                 sums: dict[tuple[str, str], tuple[np.ndarray, ...]] = {}
+                start = start_model()
                 for batch in batches:
                     for t, f, text, n in zip(batch.table_name, batch.field_name, batch["shape"], batch.n, strict=True):
                         if (t, f) not in sums:
                             sums[t, f] = tuple(np.zeros(s) for s in sizes)
                         if pieces := grammar.pieces(text):
-                            expected(pieces, float(n), sent.value.get((t, f)) or start_model(), *sums[t, f])
+                            expected(pieces, float(n), sent.value.get((t, f)) or start, *sums[t, f])
                 for (t, f), arrays in sums.items():
                     for kind, values in enumerate(arrays):
                         at = np.flatnonzero(values)
