@@ -318,7 +318,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, row_id: str, vector: str,
     """(query_id, neighbour_id, distance, place): the k nearest other vectors of every query, exactly.
 
     Queries are broadcast block by block; each task keeps its own k best per query, so k rows per query and task are
-    shuffled. Null vectors are left out; ties go to the smaller id.
+    shuffled. Of several blocks each is scanned, its result written and its broadcast released before the next. Null vectors are left out; ties go to the smaller id.
     """
     narrow = vectors.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -348,6 +348,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, row_id: str, vector: str,
             yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(axis=1)), "neighbour_id": who[keep], "distance": near[keep]})
 
         local = narrow.mapInPandas(scan, "query_id long, neighbour_id long, distance double")
+        if blocks > 1:
+            local = cut_lineage(local)
+            sent.destroy()
         result = local if result is None else result.unionByName(local)
     if result is None:
         return spark.createDataFrame([], "query_id long, neighbour_id long, distance double, place int")

@@ -42,11 +42,13 @@ class Warehouse:
 
 
 def first_available(sources: Sequence[tuple[str, Callable[[], DataFrame]]], key: Sequence[str]) -> DataFrame:
-    """Union of the sources where an earlier one wins per key; `source` names the one used. A source that cannot be opened is passed over."""
+    """Union of the sources where an earlier one wins per key; `source` names the one used. A source that cannot be opened, or whose first row cannot be read, is passed over."""
     opened = []
     for place, (name, load) in enumerate(sources):
         try:
-            opened.append(load().withColumns({"source": F.lit(name), "place_": F.lit(place)}))
+            df = load()
+            df.take(1)
+            opened.append(df.withColumns({"source": F.lit(name), "place_": F.lit(place)}))
         except Exception:  # noqa: BLE001 - any reader may fail in its own way
             continue
     if not opened:

@@ -45,7 +45,7 @@ def session_counts(events: DataFrame, *, time: str, key: str, gap: str, late: st
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all that is there and read what it wrote, from the shared checkpoint folder."""
+    """Run the stream over all that is there and read what it wrote, from the shared checkpoint folder; its state is removed."""
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
     if mode == "append":
@@ -53,4 +53,6 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     else:
         writer = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out"))
     writer.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/state")
+    state.getFileSystem(spark._jsc.hadoopConfiguration()).delete(state, True)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
