@@ -101,3 +101,12 @@ def test_many_joined_pieces_have_no_cap(spark):
     model = fit_segmentation(unpivoted([("t", df, "row_id", ["f"])]), Grammar("-"))["t", "f"]
     assert "".join(reading(text, model, "-")).replace("-", "") == "p" * 40
     assert reading(text, counts_of(text), "-") == [text]
+
+
+def test_nothing_is_learned_where_the_grammar_leaves_one_path(spark, monkeypatch):
+    """No pass over the column that could change no row."""
+    df = spark.createDataFrame([(1, "alpha-beta;'x;y'")], "row_id long, f string")
+    monkeypatch.setattr("barloom.operators.packed.fit_segmentation", lambda *a, **k: 1 / 0)
+    assert sorted(r.item for r in split_packed([("t", df, "row_id", ["f"])]).collect()) == ["alpha-beta", "x;y"]
+    with pytest.raises(ZeroDivisionError):
+        split_packed([("t", df, "row_id", ["f"])], open_signs="-")
