@@ -79,7 +79,7 @@ def test_no_bar_is_widened_between_tasks(spark):
     from barloom.plans import research
 
     root = "/root/testdata/sf0.001"
-    for name in ("cost_adjusted_spread_all", "rank_turnover_all", "regime_rank_ic_all", "factor_coverage_all", "half_life_all", "ic_summary_all", "ic_yearly_all", "ic_series_all", "quantile_returns_all",):
+    for name in ("cost_adjusted_spread_all", "rank_turnover_all", "regime_rank_ic_all", "factor_coverage_all", "half_life_all", "ic_summary_all", "ic_yearly_all", "ic_series_all", "quantile_returns_all", "monotonicity_all",):
         plan = research.QUERIES[name](spark, root)._jdf.queryExecution().optimizedPlan().toString()
         assert "Expand" not in plan and "lead(" not in plan, name
 
