@@ -89,3 +89,15 @@ def test_sparse_dates():
     assert vectors.average_ranks(x)[0].tolist()[:1] == [1.5] and np.isnan(vectors.average_ranks(x)[0][1])
     assert np.isnan(vectors.correlations(np.full((1, 3), 0.1), np.array([[1.0, 2.0, 3.0]])))[0]
     assert pd.isna(vectors.correlations(np.empty((1, 0)), np.empty((1, 0)))[0])
+
+
+def test_regimes_of_few_factors_in_blocks_and_ranges(spark, monkeypatch):
+    """The query itself, a factor a block and many ranges a factor: the rows of the long form."""
+    from barloom.plans import research
+
+    root = "/root/testdata/sf0.001"
+    source = research.panel(spark, root, [*research.CHOSEN, "market_mean_return"])
+    want = analysis.regime_rank_ic(analysis.long_form(source, research.CHOSEN, "label"), analysis.market_regimes(source))
+    monkeypatch.setattr(vectors, "TASK_ROWS", 2_000)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 300_000)
+    same(research.per_regime(spark, root, research.CHOSEN), want, ["factor", "regime"])
