@@ -101,3 +101,16 @@ def test_regimes_of_few_factors_in_blocks_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TASK_ROWS", 2_000)
     monkeypatch.setattr(vectors, "BLOCK_BYTES", 300_000)
     same(research.per_regime(spark, root, research.CHOSEN), want, ["factor", "regime"])
+
+
+def test_bars_are_shuffled_once_and_read_once_for_all_blocks(spark, monkeypatch):
+    """Bars take one shuffle, and the panel of few factors is computed once however many blocks their ranks take."""
+    from barloom.plans import research
+
+    root = "/root/testdata/sf0.001"
+    plan = research.bars(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    made, panel = [], research.panel
+    monkeypatch.setattr(research, "panel", lambda *a: (made.append(a[2]), panel(*a))[1])
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 300_000)
+    assert research.per_regime(spark, root, research.CHOSEN).count() == 15 and made == [research.CHOSEN]
