@@ -28,7 +28,7 @@ def test_buckets_hold_the_panel(bars, chunk, block, monkeypatch):
 
     schema = "date date, symbol string, " + ", ".join(f"{n} double" for n in FACTORS)
     inside = bars.withColumn("bucket", F.pmod(F.hash("symbol"), F.lit(2)))
-    got = wide.over_buckets(inside, 1_200, FACTORS, make, schema)().toPandas()
+    got = wide.over_buckets(inside, 1_200, FACTORS)(make, schema).toPandas()
     want = factor_panel(bars, FACTORS).toPandas()
     got, want = (df.sort_values(["symbol", "date"]).reset_index(drop=True) for df in (got, want))
     assert got[["symbol", "date"]].astype(str).equals(want[["symbol", "date"]].astype(str))
@@ -42,3 +42,30 @@ def test_panel_is_not_shuffled_wide(spark):
 
     plan = factor_panel_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(bucket") == 2 and "hashpartitioning(symbol" not in plan and "Window [rank" not in plan
+
+
+def test_ridge_from_sums_is_that_of_mllib(spark):
+    """The query itself against the pipeline over a written panel."""
+    from barloom.operators.evaluation import ridge_forecast
+    from barloom.plans import evaluation, research
+
+    root = "/root/testdata/sf0.001"
+    rows = research.panel(spark, root, FACTORS).withColumn("train", F.col("date") < "2000-01-01").localCheckpoint()
+    want = ridge_forecast(rows, FACTORS, "label", "train").where("NOT train").select("date", "symbol", "label", "prediction").toPandas()
+    got = evaluation.mllib_ridge(spark, root).toPandas()
+    got, want = (df.sort_values(["symbol", "date"]).reset_index(drop=True) for df in (got, want))
+    assert len(want) and got[["symbol", "date"]].astype(str).equals(want[["symbol", "date"]].astype(str))
+    for n in ("label", "prediction"):
+        np.testing.assert_allclose(got[n].astype(float), want[n].astype(float), rtol=1e-6, atol=1e-9, equal_nan=True)
+
+
+def test_ridge_writes_no_panel(spark, monkeypatch):
+    """No factor reaches a table: what is kept are ranks as bytes."""
+    from barloom.operators import wide as W
+    from barloom.plans import evaluation
+
+    kept, cut = [], W.cut_lineage
+    monkeypatch.setattr(W, "cut_lineage", lambda df: (kept.append(df.columns), cut(df))[1])
+    monkeypatch.setattr(evaluation, "cut_lineage", lambda df: pytest.fail("written"))
+    assert evaluation.mllib_ridge(spark, "/root/testdata/sf0.001").columns == ["date", "symbol", "label", "prediction"]
+    assert kept == [["bucket", "date", "ranks"]]
