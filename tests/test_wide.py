@@ -69,3 +69,15 @@ def test_ridge_writes_no_panel(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "cut_lineage", lambda df: pytest.fail("written"))
     assert evaluation.mllib_ridge(spark, "/root/testdata/sf0.001").columns == ["date", "symbol", "label", "prediction"]
     assert kept == [["bucket", "date", "ranks"]]
+
+
+def test_what_is_ranked_takes_few_bytes():
+    """Whole numbers come back exactly, and take fewer bytes than doubles in a compressed shuffle."""
+    rnd = np.random.default_rng(5)
+    x = np.round(rnd.normal(0, 0.1, (12, 5)) * 1e9)
+    x[3, 1], x[4] = np.nan, 0.0
+    for v in (x, x * 1e4, np.full((2, 3), np.nan), np.where(x > 0, 1e300, x)):
+        np.testing.assert_array_equal(wide._met(wide._sent(v), v.shape[1]), v)
+    many = [np.round(rnd.normal(0, 0.1, (12, 5)) * 1e9) for _ in range(500)]
+    size = lambda parts: len(pa.compress(b"".join(parts), "lz4_raw", asbytes=True))
+    assert size([wide._sent(v) for v in many]) < 0.75 * size([v.tobytes() for v in many])
