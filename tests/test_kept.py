@@ -78,6 +78,6 @@ def test_source_is_read_once_for_all_blocks(spark, monkeypatch):
     monkeypatch.setattr(research, "bars", lambda *a: (made.append(a), bars_of(*a))[1])
     monkeypatch.setattr(vectors, "BLOCK_BYTES", 300_000)
     factors = [*research.CHOSEN, "up_streak", "cs_momentum_rank_20", "market_breadth"]
-    for name, most in (("ic_series_all", 1), ("regime_rank_ic_all", 2)):
+    for name, most in (("ic_series_all", 1), ("monotonicity_all", 1), ("regime_rank_ic_all", 2)):
         made.clear()
         assert research.QUERIES[name].func(spark, root, factors).count() and len(made) == most, name
